@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from plumbline.llm.packing import op3_best_fit_packing
 from plumbline.llm.token_output import op1_token_orc
 
 
 def queries() -> dict:
-    return {"op1_token_orc": op1_token_orc}
+    return {
+        "op1_token_orc": op1_token_orc,
+        "op3_best_fit_packing": op3_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
