@@ -171,8 +171,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             of, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, data in enumerate(enc.encode(batch.column(1).to_pylist())):
-                data += end
+            for row, data in enumerate(enc.encode(batch.column(1).to_pylist(), end)):
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     of.append(row)

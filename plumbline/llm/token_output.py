@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         place = start = 0
         for batch in batches:
-            ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            ids = enc.encode(batch.column(1).to_pylist(), end)
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)
             offsets = np.concatenate([[0], ends]).astype(np.int32)
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     (
         ordered.mapInArrow(encode, SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(INDEX_STRIDE))

@@ -8,10 +8,10 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks whose ids a worker remembers; beyond it the memory is emptied.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_250_000
 
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
-MARK, JOINED = "\x01", 256
+MARK, JOINED = "\x01", 1024
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -61,8 +61,8 @@ class Encoder:
     def _ask(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers (null: none)."""
+    def encode(self, texts: Iterable[str | None], end: bytes = b"") -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers (null: none), and then `end`."""
         spaced = self.spaced
         if len(self.known) + len(spaced) > CACHE_CHUNKS:
             self.known.clear()
@@ -72,7 +72,7 @@ class Encoder:
         if new := set().union(*cut).difference(spaced):
             self._learn(list(new))
         ids_of = spaced.__getitem__
-        return [first + b"".join(map(ids_of, rest)) for first, rest in zip(firsts, cut)]
+        return [b"".join([first, *map(ids_of, rest), end]) for first, rest in zip(firsts, cut)]
 
     def _first(self, chunk: str) -> bytes:
         if chunk and chunk not in self.known:
