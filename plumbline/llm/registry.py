@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.line_dedup import op2_line_chunk_dedup
 from plumbline.llm.packing import op3_best_fit_packing
 from plumbline.llm.simhash import op4_simhash_components
 from plumbline.llm.token_output import op1_token_orc
@@ -10,6 +11,7 @@ from plumbline.llm.token_output import op1_token_orc
 def queries() -> dict:
     return {
         "op1_token_orc": op1_token_orc,
+        "op2_line_chunk_dedup": op2_line_chunk_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_components": op4_simhash_components,
     }
