@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.llm.decontaminate import op5_spaced_seed_leaks
 from plumbline.llm.line_dedup import op2_line_chunk_dedup
 from plumbline.llm.packing import op3_best_fit_packing
+from plumbline.llm.sharding import op10_differencing_shards
 from plumbline.llm.simhash import op4_simhash_components
 from plumbline.llm.token_output import op1_token_orc
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_components": op4_simhash_components,
         "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
+        "op10_differencing_shards": op10_differencing_shards,
     }
 
 
