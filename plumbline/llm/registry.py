@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.llm.decontaminate import op5_spaced_seed_leaks
 from plumbline.llm.license_scan import op9_license_signatures
 from plumbline.llm.line_dedup import op2_line_chunk_dedup
+from plumbline.llm.media_gif import op6_gif_media
 from plumbline.llm.packing import op3_best_fit_packing
 from plumbline.llm.sharding import op10_differencing_shards
 from plumbline.llm.simhash import op4_simhash_components
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_simhash_components": op4_simhash_components,
         "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
+        "op6_gif_media": op6_gif_media,
         "op9_license_signatures": op9_license_signatures,
         "op10_differencing_shards": op10_differencing_shards,
     }
