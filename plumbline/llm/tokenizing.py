@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,6 +14,9 @@ CACHE_CHUNKS = 1_250_000
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
 MARK, JOINED = "\x01", 1024
 
+#: Texts that a worker remembers whole, and the characters they have at most.
+COPIES, COPY_CHARS = 2_000, 16_384
+
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -33,6 +37,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.copies: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.mark = " " + MARK
@@ -62,7 +67,20 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str | None], end: bytes = b"") -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers (null: none), and then `end`."""
+        """For each text its ids as little-endian unsigned 32-bit integers (null: none), and then `end`.
+
+        A text that comes twice is encoded once and remembered, for it is likely to come again.
+        """
+        texts = [x or "" for x in texts]
+        times = Counter(texts)
+        known = self.copies if len(self.copies) < COPIES else {}
+        fresh = [x for x in times if x not in known]
+        ids = dict(zip(fresh, self._encode(fresh, end)))
+        out = [ids[x] if x in ids else known[x] for x in texts]
+        self.copies = known | {x: ids[x] for x in fresh if times[x] > 1 and len(x) < COPY_CHARS}
+        return out
+
+    def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         spaced = self.spaced
         if len(self.known) + len(spaced) > CACHE_CHUNKS:
             self.known.clear()
