@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.decontaminate import op5_spaced_seed_leaks
+from plumbline.llm.language_crf import op8_crf_language
 from plumbline.llm.license_scan import op9_license_signatures
 from plumbline.llm.line_dedup import op2_line_chunk_dedup
 from plumbline.llm.media_gif import op6_gif_media
@@ -10,6 +11,7 @@ from plumbline.llm.packing import op3_best_fit_packing
 from plumbline.llm.sharding import op10_differencing_shards
 from plumbline.llm.simhash import op4_simhash_components
 from plumbline.llm.token_output import op1_token_orc
+from plumbline.llm.url_filter import op7_url_logistic
 
 
 def queries() -> dict:
@@ -20,6 +22,8 @@ def queries() -> dict:
         "op4_simhash_components": op4_simhash_components,
         "op5_spaced_seed_leaks": op5_spaced_seed_leaks,
         "op6_gif_media": op6_gif_media,
+        "op7_url_logistic": op7_url_logistic,
+        "op8_crf_language": op8_crf_language,
         "op9_license_signatures": op9_license_signatures,
         "op10_differencing_shards": op10_differencing_shards,
     }
