@@ -279,3 +279,18 @@ def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_on(docs.filter(~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def of_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text the model can give a language to; all columns stay as they are. Null texts and texts without a letter go."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            langs, _, _ = label_texts(shared.value, batch.column(at).to_pylist(), scorer)
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from plumbline.llm.decontaminate import op5_spaced_seed_leaks
 from plumbline.llm.language_crf import op8_crf_language
 from plumbline.llm.license_scan import op9_license_signatures
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_crf_language": op8_crf_language,
         "op9_license_signatures": op9_license_signatures,
         "op10_differencing_shards": op10_differencing_shards,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
