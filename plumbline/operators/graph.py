@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS, Graph
+from plumbline.session import written
 
 #: Edges that a driver-side kernel takes; more are an error rather than a stalled driver.
 DRIVER_EDGES = 2_000_000
@@ -42,46 +43,38 @@ def martin(edges: DataFrame, abstractness: DataFrame, t: Graph = DEFAULTS.graph)
     return d.withColumn("severity", F.when(F.col("distance") >= t.distance_alert, "alert").otherwise("warning"))
 
 
-def pagerank(edges: DataFrame, t: Graph = DEFAULTS.graph, iterations: int | None = None, checkpoint_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, t: Graph = DEFAULTS.graph, iterations: int | None = None) -> DataFrame:
     """(node, rank) by power iteration; the mass of nodes without out-edges is spread evenly.
 
     Stops after `iterations` steps if given, else when the change is below
-    epsilon. Every few steps the ranks go through a checkpoint, which cuts the
-    lineage.
+    epsilon. The ranks of each step are a written table, so the plan of a step
+    does not grow with the steps before it.
     """
     e = unique_edges(edges)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = e.join(out, "src").cache()
+    links = written(e.join(out, "src"), "links")
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    nodes = written(nodes.join(out.select(F.col("src").alias("node"), "out"), "node", "left"), "nodes")
     n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    nodes = nodes.join(out.select(F.col("src").alias("node"), "out"), "node", "left").cache()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    can_cut = e.sparkSession.sparkContext.getCheckpointDir() is not None
-    for step in range(1, (iterations or t.max_iterations) + 1):
-        dangling = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range((iterations or t.max_iterations) if n else 0):
+        lost = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        value = (1 - t.damping) / n + t.damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        new = nodes.join(got, "node", "left").join(F.broadcast(dangling)).select("node", "out", value.alias("rank"))
-        if can_cut and step % checkpoint_every == 0:
-            new = new.checkpoint()
-        if iterations is None:
-            delta = new.join(ranks.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            ranks = new
-            if delta < t.epsilon:
-                break
-        else:
-            ranks = new
+        value = F.lit((1 - t.damping) / n) + F.lit(t.damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
+        ranks = written(ranks.join(got, "node", "left").select("node", "out", F.col("rank").alias("old"), value.alias("rank")), "ranks")
+        if iterations is None and ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < t.epsilon:
+            break
     return ranks.select("node", "rank")
 
 
-def reachable(edges: DataFrame, view: str = "plumbline_edges") -> DataFrame:
-    """(src, dst) of all paths of one edge or more, by a recursive query over the distinct edges."""
-    unique_edges(edges).createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"WITH RECURSIVE reach(src, dst) AS (SELECT src, dst FROM {view} UNION SELECT r.src, e.dst FROM reach r JOIN {view} e ON r.dst = e.src) SELECT DISTINCT src, dst FROM reach"
-    )
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst) of all paths of one edge or more. Known paths are joined to themselves, so the steps grow with the logarithm of the longest path."""
+    paths, n = written(unique_edges(edges), "paths"), -1
+    while (now := paths.count()) != n:
+        n = now
+        longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
+        paths = written(paths.union(longer).distinct(), "paths")
+    return paths
 
 
 def _collected(edges: DataFrame, columns: Iterable[str] = ("src", "dst")) -> list[tuple]:
@@ -230,18 +223,16 @@ def weak_components(edges: DataFrame) -> DataFrame:
     so the number of steps grows with the logarithm of the longest path.
     """
     e = unique_edges(edges)
-    both = e.union(e.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct().cache()
+    both = written(e.union(e.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "both")
     labels = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("component", F.col("node"))
-    can_cut = e.sparkSession.sparkContext.getCheckpointDir() is not None
+    labels = written(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old")
-        new = new.checkpoint() if can_cut else new.cache()
-        changed = new.filter("component <> old").limit(1).count()
+        new = written(new.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"), "labels")
         labels = new.select("node", "component")
-        if not changed:
+        if new.filter("component <> old").isEmpty():
             return labels
 
 

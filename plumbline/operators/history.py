@@ -111,7 +111,7 @@ def change_shotgun(commit_files: DataFrame, packages: DataFrame, t: History = DE
     return out.filter(F.col("distinct_packages") > t.shotgun_packages).orderBy(F.desc("distinct_packages"), F.desc("partner_count"), "file").limit(t.top)
 
 
-def line_ranges(lines: DataFrame, keys: list[str], line: str = "line", most: int = 20) -> DataFrame:
+def line_ranges(lines: DataFrame, keys: list[str], line: str = "line", most: int = 40) -> DataFrame:
     """keys, start, end: runs of consecutive line numbers, at most the first `most` of each key."""
     own = Window.partitionBy(*keys)
     runs = lines.select(*keys, line).distinct().withColumn("__island", F.col(line) - F.row_number().over(own.orderBy(line)))
@@ -127,7 +127,7 @@ def innermost(lines: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def is_fix(subject: Column) -> Column:
     """Whether a commit's subject has a word that tells of a repair."""
-    return F.lower(subject).rlike(r"(^|[^a-z])(fix|fixes|fixed|bug|bugs|defect|hotfix|regression)([^a-z]|$)")
+    return F.lower(subject).rlike(r"(^|[^a-z0-9])(fix|fixes|fixed|bug|bugfix|hotfix|defect|regression)([^a-z0-9]|$)")
 
 
 def defect_prone(blames: DataFrame, cosmetic: DataFrame, t: History = DEFAULTS.history) -> DataFrame:

@@ -135,7 +135,7 @@ RANGES_SQL = """
 WITH lines AS (SELECT DISTINCT l_orderkey AS fix, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE (l_orderkey + l_linenumber) % 4 <> 0),
 runs AS (SELECT *, line - row_number() OVER (PARTITION BY fix ORDER BY line) AS island FROM lines),
 ranges AS (SELECT fix, min(line) AS start, max(line) AS "end" FROM runs GROUP BY fix, island)
-SELECT fix, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY fix ORDER BY start) AS n FROM ranges) WHERE n <= 20"""
+SELECT fix, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY fix ORDER BY start) AS n FROM ranges) WHERE n <= 40"""
 
 
 def defect_prone_functions(s, d):
