@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_path, shared_root, written
+
+__all__ = ["ARROW_ROWS", "PART_CHARS", "documents", "parts", "remembers", "salted_rank", "shared_path", "shared_root", "small_batches", "written"]
+
 #: Rows in one Arrow batch: bounds a Python worker's memory also where every text of a batch is very long.
 ARROW_ROWS = 500
 
-_own_root: dict[str, str] = {}
+#: Characters of texts that are worked on at once, unless one text alone has more.
+PART_CHARS = 2 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (local tests) a folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_root.setdefault("root", tempfile.mkdtemp(prefix="plumbline-"))
-    return root.rstrip("/")
+def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of few enough characters."""
+    own, chars = [], 0
+    for text in texts:
+        if own and chars + len(text or "") > PART_CHARS:
+            yield own
+            own, chars = [], 0
+        own.append(text)
+        chars += len(text or "")
+    if own:
+        yield own
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+_remembered: dict[str, Callable[[], None]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """In a Python worker, which serves one operator after another: the memory of any other owner is emptied now, and `forget` empties this one's later."""
+    for name in [x for x in _remembered if x != owner]:
+        _remembered.pop(name)()
+    _remembered[owner] = forget
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, small_batches
+from plumbline.llm.common import documents, parts, remembers, small_batches
 
 #: Labelled texts of each language that are used for training, those of least hash: the only bounded part.
 TEXTS_A_LANGUAGE = 150
@@ -26,7 +26,9 @@ RUN = 32
 #: Weights: hash space, n-gram lengths, passes, step, weight decay.
 SPACE, GRAMS, PASSES, STEP, DECAY = 1 << 17, (1, 2, 3, 4), 12, 0.5, 1e-6
 #: Words whose scores a worker remembers.
-WORDS = 400_000
+WORDS = 300_000
+#: Words whose features are in memory at once.
+FEATURED = 8_192
 #: Words of a block of the chain whose transfer matrices are multiplied side by side.
 BLOCK = 64
 
@@ -133,8 +135,12 @@ class Model:
         self.labels, self.weights, self.transition, self.start = labels, weights, transition, start
 
     def scores(self, words: list[str]) -> np.ndarray:
-        feature, begin = word_features(words)
-        return np.add.reduceat(self.weights[feature], begin, axis=0)
+        """A row a word; few words at a time, for each has some dozens of features."""
+        out = np.empty((len(words), len(self.labels)), dtype=np.float32)
+        for at in range(0, len(words), FEATURED):
+            feature, begin = word_features(words[at : at + FEATURED])
+            out[at : at + FEATURED] = np.add.reduceat(self.weights[feature], begin, axis=0)
+        return out
 
 
 def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -193,12 +199,17 @@ class _Scorer:
     """Word scores of a model, remembered by token."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, {}
-        self.table = np.zeros((1, len(model.labels)), dtype=np.float32)
+        remembers("language", self._empty)
+        self.model = model
+        self._empty()
+
+    def _empty(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1, len(self.model.labels)), dtype=np.float32)
 
     def rows_of(self, texts: list[list[str]]) -> list[list[int]]:
         if len(self.rows) > WORDS:
-            self.rows, self.table = {}, self.table[:1]
+            self._empty()
         if new := list(set().union(*texts).difference(self.rows)):
             words = list(map(clean, new))
             kept = sorted({w for w in words if w})
@@ -213,6 +224,14 @@ class _Scorer:
 def label_texts(model: Model, texts: list[str | None], scorer: _Scorer | None = None) -> tuple[list[str], list[float], list[np.ndarray]]:
     """For each text its language, the mean marginal of it, and the marginals of its words (tokens without a letter have none)."""
     scorer = scorer or _Scorer(model)
+    langs, scores, words = [], [], []
+    for part in parts(texts):
+        for out, own in zip((langs, scores, words), _label_part(model, part, scorer)):
+            out += own
+    return langs, scores, words
+
+
+def _label_part(model: Model, texts: list[str | None], scorer: _Scorer) -> tuple[list[str], list[float], list[np.ndarray]]:
     rows = [np.array(x, dtype=np.int64) for x in scorer.rows_of([(x or "").split() for x in texts])]
     rows = [x[x > 0] for x in rows]
     lengths = np.array([len(x) for x in rows], dtype=np.int64)

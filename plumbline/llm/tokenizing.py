@@ -8,6 +8,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from plumbline.llm.common import parts, remembers
+
 #: Chunks whose ids a worker remembers; beyond it the memory is emptied.
 CACHE_CHUNKS = 1_250_000
 
@@ -75,7 +77,7 @@ class Encoder:
         times = Counter(texts)
         known = self.copies if len(self.copies) < COPIES else {}
         fresh = [x for x in times if x not in known]
-        ids = dict(zip(fresh, self._encode(fresh, end)))
+        ids = dict(zip(fresh, [x for part in parts(fresh) for x in self._encode(part, end)]))
         out = [ids[x] if x in ids else known[x] for x in texts]
         self.copies = known | {x: ids[x] for x in fresh if times[x] > 1 and len(x) < COPY_CHARS}
         return out
@@ -99,7 +101,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+    """One for each worker process and file, until another operator needs the memory."""
+    remembers("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
