@@ -72,7 +72,7 @@ def estimate(corpus: DataFrame, editorial: DataFrame) -> DataFrame:
 def intensity(value: Column, least: float, most: Column | float) -> Column:
     """0 to 10 between the threshold and the extreme; null below the threshold."""
     span = (most if isinstance(most, Column) else F.lit(most)) - F.lit(least)
-    scaled = F.when(span <= 0, F.lit(10.0)).otherwise((value - least) / span * 10)
+    scaled = F.when(span <= 0, F.when(value > least, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise((value - least) / span * 10)
     return F.when(value >= least, F.greatest(F.lit(0.0), F.least(F.lit(10.0), scaled)))
 
 
