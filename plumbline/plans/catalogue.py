@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import code_queries, graph_queries, history_queries, stats_queries
+from plumbline.plans import code_queries, graph_queries, history_queries, session_queries, stats_queries
 
-MODULES = [history_queries, graph_queries, stats_queries, code_queries]
+MODULES = [history_queries, graph_queries, stats_queries, code_queries, session_queries]
 
 
 def queries() -> dict:

@@ -302,12 +302,12 @@ BLOATED_SQL = f"WITH {DEPS} SELECT name, scope, own FROM declared WHERE scope =
 def phantom_dependencies(s, d):
     locked = table(s, d, "part").filter("p_size > 10").select(F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-"), (F.col("p_partkey") % 11).cast("string")).alias("name"))
     stdlib = table(s, d, "part").filter("p_size = 11").select(F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-1")).alias("name"))
-    return D.phantom(_imports(s, d), _declared(s, d).filter("own"), locked, stdlib)
+    return D.phantom(_imports(s, d), _declared(s, d).filter("name like '%-3' or name like '%-7'"), locked, stdlib)
 
 
 PHANTOM_SQL = f"""
 WITH {DEPS}
-SELECT name FROM imported WHERE name NOT IN (SELECT replace(lower(name), '_', '-') FROM declared WHERE own) AND name NOT IN (SELECT replace(lower(replace(p_name, ' ', '-') || '-1'), '_', '-') FROM part WHERE p_size = 11)
+SELECT name FROM imported WHERE name NOT IN (SELECT replace(lower(name), '_', '-') FROM declared WHERE name LIKE '%-3' OR name LIKE '%-7') AND name NOT IN (SELECT replace(lower(replace(p_name, ' ', '-') || '-1'), '_', '-') FROM part WHERE p_size = 11)
   AND name IN (SELECT replace(lower(replace(p_name, ' ', '-') || '-' || p_partkey % 11), '_', '-') FROM part WHERE p_size > 10)"""
 
 
