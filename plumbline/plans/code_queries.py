@@ -283,12 +283,12 @@ def _declared(s, d):
 
 
 def _imports(s, d):
-    return table(s, d, "part").filter("p_retailprice > 1100").select(F.initcap(F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("_"), (F.col("p_partkey") % 11).cast("string"))).alias("name")).distinct()
+    return table(s, d, "part").filter("p_retailprice > 950").select(F.initcap(F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("_"), (F.col("p_partkey") % 11).cast("string"))).alias("name")).distinct()
 
 
 DEPS = """
 declared AS (SELECT DISTINCT replace(p_name, ' ', '_') || '-' || p_partkey % 13 AS name, CASE WHEN p_size % 3 = 0 THEN 'test' ELSE 'deploy' END AS scope, p_size = 50 AS own FROM part),
-imported AS (SELECT DISTINCT lower(replace(replace(p_name, ' ', '-') || '_' || p_partkey % 11, '_', '-')) AS name FROM part WHERE p_retailprice > 1100)"""
+imported AS (SELECT DISTINCT lower(replace(replace(p_name, ' ', '-') || '_' || p_partkey % 11, '_', '-')) AS name FROM part WHERE p_retailprice > 950)"""
 
 
 def bloated_dependencies(s, d):

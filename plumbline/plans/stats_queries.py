@@ -91,12 +91,12 @@ SELECT metric, CAST(warning AS BIGINT) AS warning, CAST(greatest(41, p95, warnin
 
 def intensity_ranking(s, d):
     rows = table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    out = S.rank_by_intensity(rows, {"size": (20.0, 45.0), "price": (1000.0, 1400.0)}, ["p_partkey"])
+    out = S.rank_by_intensity(rows, {"size": (20.0, 45.0), "price": (950.0, 990.0)}, ["p_partkey"])
     return out.select("p_partkey", F.round("intensity", 6).alias("intensity"))
 
 
 INTENSITY_SQL = """
-WITH x AS (SELECT p_partkey, CASE WHEN p_size >= 20 THEN greatest(0, least(10, (p_size - 20) / 25.0 * 10)) END AS a, CASE WHEN p_retailprice >= 1000 THEN greatest(0, least(10, (p_retailprice - 1000) / 400.0 * 10)) END AS b FROM part)
+WITH x AS (SELECT p_partkey, CASE WHEN p_size >= 20 THEN greatest(0, least(10, (p_size - 20) / 25.0 * 10)) END AS a, CASE WHEN p_retailprice >= 950 THEN greatest(0, least(10, (p_retailprice - 950) / 40.0 * 10)) END AS b FROM part)
 SELECT p_partkey, round((coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 6) AS intensity FROM x WHERE a IS NOT NULL OR b IS NOT NULL"""
 
 
