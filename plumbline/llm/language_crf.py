@@ -155,9 +155,14 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     if not runs or k < 2:
         return model
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, run in runs for w in run))}
-    feature, begin = word_features(list(vocabulary))
-    per_word = np.diff(np.append(begin, len(feature)))
-    owner = np.repeat(np.arange(len(vocabulary)), per_word)
+    words, found, sizes = list(vocabulary), [], []
+    for at in range(0, len(words), FEATURED):
+        own, start = word_features(words[at : at + FEATURED])
+        found.append(own.astype(np.int32))
+        sizes.append(np.diff(np.append(start, len(own))))
+    feature, per_word = np.concatenate(found), np.concatenate(sizes)
+    begin = np.cumsum(per_word) - per_word
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), per_word)
     rng = np.random.default_rng(seed)
     sums, sums_t = np.full((SPACE, k), 1e-8), np.full((k, k), 1e-8)
     weights, transition = np.zeros((SPACE, k)), np.zeros((k, k))
@@ -174,7 +179,7 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
                 lengths.append(sum(len(ids[r]) for r in part[i : i + many]))
                 i += many
             word, label, lengths = np.concatenate(joined), np.concatenate(truth), np.array(lengths)
-            score = np.add.reduceat(weights[feature], begin, axis=0)[word]
+            score = np.stack([np.add.reduceat(weights[feature, c], begin) for c in range(k)], axis=1)[word]
             marginal = forward_backward(score, lengths, transition, np.zeros(k))
             miss = -marginal
             miss[np.arange(len(word)), label] += 1

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, shared_path, small_batches
-from plumbline.llm.tokenizing import encoder, tokenizer_path
+from plumbline.llm.tokenizing import LARGE_CACHE_WORDS, encoder, tokenizer_path
 
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 2_000
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer, LARGE_CACHE_WORDS), np.array([end_id], dtype="<u4").tobytes()
         place = start = 0
         for batch in batches:
             ids = enc.encode(batch.column(1).to_pylist(), end)

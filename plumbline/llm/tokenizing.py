@@ -10,8 +10,8 @@ import numpy as np
 
 from plumbline.llm.common import parts, remembers
 
-#: Chunks whose ids a worker remembers; beyond it the memory is emptied.
-CACHE_CHUNKS = 1_250_000
+#: Words whose ids a worker remembers (about 200 bytes each), beyond which the memory is emptied: by default, and where nothing else shares the worker.
+CACHE_WORDS, LARGE_CACHE_WORDS = 600_000, 1_250_000
 
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
 MARK, JOINED = "\x01", 1024
@@ -33,7 +33,8 @@ class Encoder:
     ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +85,7 @@ class Encoder:
 
     def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         spaced = self.spaced
-        if len(self.known) + len(spaced) > CACHE_CHUNKS:
+        if len(self.known) + len(spaced) > self.cache_words:
             self.known.clear()
             spaced.clear()
         cut = [(text.split(" ") if "  " not in text else [text]) if text else [""] for text in texts]
@@ -100,11 +101,12 @@ class Encoder:
         return self.known[chunk] if chunk else b""
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One for each worker process and file, until another operator needs the memory."""
     remembers("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].cache_words = cache_words
     return _loaded[path]
 
 
