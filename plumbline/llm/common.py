@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_path, shared_root, written
 
-__all__ = ["ARROW_ROWS", "PART_CHARS", "documents", "parts", "remembers", "salted_rank", "shared_path", "shared_root", "small_batches", "written"]
+__all__ = ["ARROW_ROWS", "PART_CHARS", "documents", "parts", "remembers", "salted_rank", "shared_path", "shared_root", "shielded", "small_batches", "written"]
 
 #: Rows in one Arrow batch: bounds a Python worker's memory also where every text of a batch is very long.
 ARROW_ROWS = 500
@@ -31,6 +31,12 @@ def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield own
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., so that none has a name that an operator gives, and the new names by the old."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new))
+
+
 _remembered: dict[str, Callable[[], None]] = {}
 
 

@@ -13,6 +13,8 @@ from plumbline.llm.common import written
 
 #: Fingerprints of a bucket that are compared in one task; larger buckets are divided by further masks.
 BUCKET = 512
+#: With so few free bits a bucket is not divided any more.
+LAST_BITS = 9
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -68,8 +70,11 @@ def links_within(words: DataFrame, radius: int, bits: int = 64) -> DataFrame:
             free = [b for b in range(bits) if not mask >> b & 1]
             for sub in covering_masks(free, radius):
                 masks.append((family, len(masks), mask | sub))
-        if max(bits - m.bit_count() for _, _, m in masks) >= bits:
+        free = max(bits - m.bit_count() for _, _, m in masks)
+        if free >= bits:
             raise ValueError("too few bits for this radius")
+        # the words of a bucket differ only in the free bits, so there are at most 2^free of them
+        most = BUCKET if free > LAST_BITS else 1 << free
         if len(families) == 1:
             dealt = rows.select("word", F.posexplode(F.array(*[F.col("word").bitwiseAND(F.lit(signed(m))) for _, _, m in masks])).alias("table", "key"))
         else:
@@ -80,7 +85,7 @@ def links_within(words: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         buckets = written(buckets, "buckets")
         links.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v"))
         full = dealt.join(buckets.filter("n > 2").select("table", "key", "n"), ["table", "key"])
-        small = full.filter(F.col("n") <= BUCKET).groupBy("table", "key").agg(F.collect_list("word").alias("words"))
+        small = full.filter(F.col("n") <= most).groupBy("table", "key").agg(F.collect_list("word").alias("words"))
 
         def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -95,9 +100,9 @@ def links_within(words: DataFrame, radius: int, bits: int = 64) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (u, v)], ["u", "v"])
 
         links.append(small.select("words").mapInArrow(connect, "u long, v long"))
-        if buckets.filter(F.col("n") > BUCKET).isEmpty():
+        if buckets.filter(F.col("n") > most).isEmpty():
             break
-        rows = full.filter(F.col("n") > BUCKET).select(F.col("table").alias("family"), "word")
+        rows = full.filter(F.col("n") > most).select(F.col("table").alias("family"), "word")
         families = [(t, m) for _, t, m in masks]
     out = links[0]
     for more in links[1:]:

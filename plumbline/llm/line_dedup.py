@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, written
+from plumbline.llm.common import documents, shielded, written
 
 CHUNKINGS = 6
 #: A line of so many characters is a chunk; it takes about 50 words.
@@ -74,6 +74,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stands for different bytes are left alone. Other columns pass through; one
     named removed_lines is replaced. An empty table gives an empty one.
     """
+    names = docs.columns
+    docs, new = shielded(docs)
+    id_col, text_col = new[id_col], new[text_col]
     rows = chunks(docs, id_col, text_col)
     place = F.struct("__id", "__key", "first")
     repeated = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter("times > 1")
@@ -106,7 +109,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("__stays", F.when(F.col("__cut").isNotNull(), stays))
     removed = F.when(F.col("__stays").isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)) - F.size("__stays"))
     out = out.withColumns({"removed_lines": removed.cast("int"), text_col: F.when(F.col("__stays").isNull(), F.col(text_col)).otherwise(F.array_join("__stays", "\n"))})
-    return out.select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    return out.select(*[F.col(new[c]).alias(c) for c in names if c != "removed_lines"], "removed_lines")
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ RATE, STEP = 3.0, 0.25
 PER_PRICING, PRICINGS = 96, 48
 #: Solutions of the program over what rounding has left.
 ROUNDS = 3
+#: Powers of a length's share of the capacity that are its first weight; each is solved.
+POWERS = (1.0, 1.1, 2.0)
+#: Shares to which a configuration has to be filled, of which rounding tries each.
+SHARES = (0.0, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,15 +73,20 @@ def _filled(c: int, taken: np.ndarray, lengths: np.ndarray) -> list[int]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, step: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations (count by length) and their fractional numbers, which together cover every length about once."""
+def solve(counts: dict[int, int], capacity: int, step: float, power: float) -> list[tuple[dict[int, int], float]]:
+    """Configurations (count by length) and their fractional numbers, which together cover every length about once.
+
+    power: over 1, a
+    long piece is worth more than short ones of the same length together, which
+    are kept to fill up others.
+    """
     lengths = np.array(sorted(counts), dtype=np.int64)
     need = np.array([counts[int(x)] for x in lengths], dtype=float)
     left, out = need.copy(), []
     for _ in range(PRICINGS):
         if not (left > 1e-9).any():
             break
-        weights = lengths / capacity * np.exp(-RATE * (1 - left / need))
+        weights = (lengths / capacity) ** power * np.exp(-RATE * (1 - left / need))
         weights[left <= 1e-9] = 0
         _, taken = price(weights, lengths, capacity)
         # each of the least covered lengths asks for the best configuration that has it
@@ -136,17 +145,14 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [(held, many) for entries in by_room.values() for held, many in entries]
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Contents of sequences (lengths in descending order) and how many there are of each. Every piece is in exactly one."""
-    left = {int(k): int(v) for k, v in counts.items() if v}
-    if any(not 0 < k <= capacity for k in left):
-        raise ValueError("a piece has a length outside 1..capacity")
-    plan: Plan = [((capacity,), left.pop(capacity))] if capacity in left else []
+def _rounded(counts: dict[int, int], capacity: int, power: float) -> tuple[Plan, dict[int, int]]:
+    """Whole numbers of configurations, and the pieces that these leave. What rounding down leaves is solved again."""
+    left, plan = dict(counts), []
     for round_ in range(ROUNDS):
-        if sum(left.values()) < 2:
-            break
         before = sum(left.values())
-        for held, many in sorted(solve(left, capacity, STEP if round_ == 0 else 1.0), key=lambda x: (-x[1], sorted(x[0].items()))):
+        if before < 2:
+            break
+        for held, many in sorted(solve(left, capacity, STEP if round_ == 0 else 1.0, power), key=lambda x: (-x[1], sorted(x[0].items()))):
             many = min(int(many + 1e-6), *(left.get(k, 0) // t for k, t in held.items()))
             if many > 0:
                 plan.append((tuple(sorted((k for k, t in held.items() for _ in range(t)), reverse=True)), many))
@@ -155,7 +161,40 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         left = {k: v for k, v in left.items() if v}
         if sum(left.values()) > 0.98 * before:
             break
-    return plan + best_fit_decreasing(left, capacity)
+    return plan, left
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Contents of sequences (lengths in descending order) and how many there are of each. Every piece is in exactly one.
+
+    Rounding: of the program's solution those configurations are taken whole
+    that are filled to a share at least; the pieces of the others join the
+    remainder. Of the POWERS of the first weights and the shares SHARES those are taken
+    that lead to the fewest sequences; no more are tried once the bound by
+    total length is met.
+    """
+    left = {int(k): int(v) for k, v in counts.items() if v}
+    if any(not 0 < k <= capacity for k in left):
+        raise ValueError("a piece has a length outside 1..capacity")
+    whole: Plan = [((capacity,), left.pop(capacity))] if capacity in left else []
+    bound = -(-sum(k * v for k, v in left.items()) // capacity)
+    best: Plan | None = None
+    for power in POWERS:
+        solved, remainder = _rounded(left, capacity, power)
+        for share in SHARES:
+            plan, rest = [], dict(remainder)
+            for held, many in solved:
+                if sum(held) >= share * capacity:
+                    plan.append((held, many))
+                else:
+                    for k in held:
+                        rest[k] = rest.get(k, 0) + many
+            plan = plan + best_fit_decreasing(rest, capacity)
+            if best is None or sum(m for _, m in plan) < sum(m for _, m in best):
+                best = plan
+        if sum(m for _, m in best) <= bound + 1:
+            break
+    return whole + (best or [])
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -211,8 +250,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     low = base[np.searchsorted(kinds, of[:, 0])] + of[:, 1]
     sequence, offsets = of[:, 2], of[:, 3]
 
-    ranked = salted_rank(pieces, ["length"], [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "rank")
-    place_at, length_at, names = ranked.columns.index("rank"), ranked.columns.index("length"), pieces.columns
+    ranked = salted_rank(pieces, ["length"], [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "__rank")
+    place_at, length_at, names = ranked.columns.index("__rank"), ranked.columns.index("length"), pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
