@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import shared_path, shared_root, written
 
-__all__ = ["ARROW_ROWS", "PART_CHARS", "documents", "parts", "remembers", "salted_rank", "shared_path", "shared_root", "shielded", "small_batches", "written"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "PART_CHARS", "documents", "parts", "remembers", "salted_rank", "shared_path", "shared_root", "shielded", "sized", "small_batches", "written"]
 
 #: Rows in one Arrow batch: bounds a Python worker's memory also where every text of a batch is very long.
 ARROW_ROWS = 500
@@ -47,6 +47,19 @@ def remembers(owner: str, forget: Callable[[], None]) -> None:
     _remembered[owner] = forget
 
 
+#: Rows of a few numbers each that are broadcast in a join (under 50 MB).
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which is a written table, to be broadcast if it has few rows, and else joined by sorting.
+
+    The planner's own guess is the size of compressed files, which may be a
+    hundredth of the rows in memory, so it is not left to that.
+    """
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ARROW_ROWS rows in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -13,10 +13,10 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     if large:
         ends = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = ends.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = ends.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = links.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 
 

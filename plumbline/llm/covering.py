@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import sized, written
 
 #: Fingerprints of a bucket that are compared in one task; larger buckets are divided by further masks.
 BUCKET = 512
@@ -84,7 +84,7 @@ def links_within(words: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         buckets = dealt.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("u"), F.max("word").alias("v")).filter("n > 1")
         buckets = written(buckets, "buckets")
         links.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v"))
-        full = dealt.join(buckets.filter("n > 2").select("table", "key", "n"), ["table", "key"])
+        full = dealt.join(sized(buckets.filter("n > 2").select("table", "key", "n")), ["table", "key"])
         small = full.filter(F.col("n") <= most).groupBy("table", "key").agg(F.collect_list("word").alias("words"))
 
         def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

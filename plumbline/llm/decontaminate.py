@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, shielded, written
+from plumbline.llm.common import documents, shielded, sized, written
 from plumbline.llm.covering import covering_masks
 
 SPAN, SUBSTITUTED = 10, 2
@@ -82,8 +82,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs, new = shielded(docs)
     id_col, text_col = new[id_col], new[text_col]
     hits = written(benchmark_hits(docs, benchmark, id_col, text_col, broadcast_rows=broadcast_rows).select("__id", "__key"), "leaks")
-    if hits.count() <= broadcast_rows:
-        hits = F.broadcast(hits)
+    hits = sized(hits, broadcast_rows)
     return docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == hits["__key"]), "left_anti").toDF(*names)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, shielded, written
+from plumbline.llm.common import documents, shielded, sized, written
 
 CHUNKINGS = 6
 #: A line of so many characters is a chunk; it takes about 50 words.
@@ -60,10 +60,6 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select("__id", "__key", "__lines", F.col("run.first").alias("first"), F.col("run.n").alias("n"), hash_.alias("chunk"))
 
 
-def _small(df: DataFrame, most: int) -> bool:
-    return df.count() <= most
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with the repeated chunks cut out of the text, and removed_lines, the number of lines cut.
 
@@ -81,12 +77,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("__id", "__key", "first")
     repeated = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter("times > 1")
     repeated = written(repeated.select("chunk", "kept"), "repeated")
-    few = _small(repeated, broadcast_rows)
+    few = repeated.count() <= broadcast_rows
 
     def hits(columns: list[str], named: DataFrame) -> DataFrame:
         if few:
             return rows.join(F.broadcast(named), "chunk").select(*columns)
-        narrow = rows.drop("__lines").join(named, "chunk")
+        narrow = rows.drop("__lines").join(named.hint("merge"), "chunk")
         if "bytes" not in "".join(columns) and "__lines" not in columns:
             return narrow.select(*columns)
         of = narrow.groupBy("__id", "__key").agg(F.collect_list(F.struct("chunk", "first", "n")).alias("of"))
@@ -101,8 +97,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = hits(["__id", "__key", "first", "n", "kept"], sure).filter(~F.struct("__id", "__key", "first").eqNullSafe(F.col("kept")))
     cut = written(cut.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n")).alias("__cut")), "cut")
     cut = cut.select(F.col("__id").alias("__cut_id"), F.col("__key").alias("__cut_key"), "__cut")
-    if _small(cut, broadcast_rows):
-        cut = F.broadcast(cut)
+    cut = sized(cut, broadcast_rows)
     text = F.col(text_col).cast("string")
     out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("__cut_id")) & (F.xxhash64(text) == F.col("__cut_key")), "left")
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("__cut", lambda c: (i >= c["first"]) & (i < c["first"] + c["n"])))
