@@ -81,7 +81,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.nda
     through all blocks side by side.
     """
     n, k = scores.shape
-    if not n:
+    if not n or not k:
         return scores
     move = np.exp(transition)
     heat = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
