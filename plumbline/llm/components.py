@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import sized, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One step: each node's (larger, or smaller and own) neighbours are linked to the least of its neighbourhood."""
+    """One step: each node's (larger, or smaller and own) neighbours are linked to the least of its neighbourhood.
+
+    The least neighbours are a table of their own, so that a node with very many
+    links can be split in the join.
+    """
     if large:
         ends = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = ends.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        out = ends.filter("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+        out = links.join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 
 
