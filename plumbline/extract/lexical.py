@@ -21,11 +21,12 @@ class Profile:
     boolean: str = r"&&|\|\|"
     imports: str = r"^\s*(?:import|use|using|include|require)\s+([\w.:/\\{}* -]+)"
     close: str = "brace"
+    opens: str = r"\b(?:function|do|if)\b"
     method: str = r"\b(?:class|struct|impl|interface|object|trait)\s+(\w+)"
 
 
 _C_HEAD = r"^[ \t]*(?:[\w:<>,*&\[\]~ \t]+[ \t*&])?(\w+)[ \t]*\(([^;{}()]*(?:\([^()]*\)[^;{}()]*)*)\)[^;{}=]*\{"
-_END = dict(close="end", comment=r"#[^\n]*")
+_END = dict(close="end", comment=r"#[^\n]*", opens=r"\b(?:def|class|module|do|begin|case)\b|^\s*(?:if|unless|while|until|for)\b")
 #: Words of the languages.
 PROFILES = {
     "typescript": Profile(r"\b(?:function\s*\*?\s+(\w+)\s*|(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*)(?:<[^>]*>)?\(([^(){};]*)\)\s*(?::[^={;]+)?\{", imports=r"""(?:from|import|require\()\s*["']([^"']+)["']""", boolean=r"&&|\|\||\?\?"),
@@ -95,8 +96,8 @@ def extract(source: str, lang: str) -> Facts | None:
             stop = _brace_end(clean, m.end() - 1)
         elif p.close == "end":
             depth, stop = 1, len(clean)
-            for w in re.compile(r"\b(?:def|class|module|do|begin|case|function|then|end|(?<=\n)\s*(?:if|unless|while))\b").finditer(clean, m.end()):
-                depth += -1 if w[0].strip() == "end" else 1
+            for w in re.compile(rf"{p.opens}|\bend\b", re.M).finditer(clean, m.end()):
+                depth += -1 if w[0] == "end" else 1
                 if depth == 0:
                     stop = w.end()
                     break
