@@ -84,3 +84,43 @@ def ifdef_density(files: DataFrame, least: int = 40, most: int = 12) -> DataFram
     hit = lines.filter(F.col("line").rlike(r"^\s*#\s*(if|ifdef|ifndef|elif)\b"))
     out = hit.groupBy("path").agg(F.count(F.lit(1)).alias("conditionals"), (F.min("n") + 1).alias("first_line"))
     return out.filter(F.col("conditionals") >= least).orderBy(F.desc("conditionals"), "path").limit(most)
+
+
+def _candidates(path: str, lang: str, target: str) -> list[str]:
+    """Files that an import may mean, the likeliest first."""
+    here = path.rsplit("/", 1)[0] if "/" in path else ""
+    join = lambda a, b: "/".join(x for x in (a, b) if x)
+    if lang == "python":
+        rest = target.lstrip(".")
+        up = len(target) - len(rest)
+        base = rest.replace(".", "/")
+        if up:
+            folder = here
+            for _ in range(up - 1):
+                folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
+            base = join(folder, base)
+            return [f"{base}.py", join(base, "__init__.py")]
+        return [f"{base}.py", f"{base}/__init__.py", join(here, f"{base}.py")] + ([f"{base.rsplit('/', 1)[0]}.py"] if "/" in base else [])
+    if lang in ("typescript", "javascript"):
+        if not target.startswith("."):
+            return []
+        parts: list[str] = here.split("/") if here else []
+        for p in target.split("/"):
+            if p == "..":
+                parts = parts[:-1]
+            elif p != ".":
+                parts.append(p)
+        base = "/".join(parts)
+        return [base, *[f"{base}.{e}" for e in ("ts", "tsx", "js", "jsx")], f"{base}/index.ts", f"{base}/index.js"]
+    base = re.sub(r"::|\\|\.(?=\w+(?:\.|$)(?!h\b|hpp\b))", "/", target).strip("/")
+    ext = path.rsplit(".", 1)[-1]
+    return [join(here, target), target, f"{base}.{ext}", join(here, f"{base}.{ext}")]
+
+
+def import_candidates(files: DataFrame) -> DataFrame:
+    """(src, target, priority, candidate) of all imports, for deps.resolve_imports."""
+
+    def rows(path, lang, source, facts):
+        return [(path, t, k, c) for t, _ in facts.imports for k, c in enumerate(_candidates(path, lang, t))]
+
+    return _each(files, "src string, target string, priority int, candidate string", ["src", "target", "priority", "candidate"], rows)

@@ -241,3 +241,24 @@ def test_stream_of_counts_and_windows(spark, tmp_path):
     ev = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a"), ("2024-01-01 00:05:00", "a")], "t string, k string").select(F.to_timestamp("t").alias("t"), "k")
     assert sorted(r["events"] for r in edits.windowed(ev, "t", "1 minute", "1 minute", ["k"]).collect()) == [1, 2]
     assert sorted(r["events"] for r in edits.sessions(ev, "t", "1 minute", "1 minute", ["k"]).collect()) == [1, 2]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from plumbline import cli
+
+    (tmp_path / "app").mkdir()
+    branches = "".join(f"    if a == {i}:\n        b += {i}\n" for i in range(12))
+    (tmp_path / "app/a.py").write_text(f"import app.b\n\ndef f(a, b):\n{branches}    return b\n")
+    (tmp_path / "app/b.py").write_text("from app.a import f\n")
+    assert cli.main(["check", str(tmp_path)]) == 1 and "app/a.py:3 complex_method (f) 13" in capsys.readouterr().out
+    (tmp_path / "plumbline.toml").write_text("[thresholds.function]\ncc_warning = 14\ncogc_warning = 99\n")
+    assert cli.main(["check", str(tmp_path), "--json"]) == 0
+    assert cli.main(["audit", str(tmp_path)]) == 1 and "import_cycle" in capsys.readouterr().out
+    assert cli.main(["calibrate", str(tmp_path)]) == 0 and "cc_warning = 14" in capsys.readouterr().out
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=n@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for i in range(4):
+        (tmp_path / "app/a.py").write_text(f"# {i}\n" + (tmp_path / "app/a.py").read_text())
+        git("add", ".")
+        git("commit", "-qm", f"c{i}")
+    assert cli.main(["history", str(tmp_path)]) == 1 and "hotspot" in capsys.readouterr().out
