@@ -11,7 +11,7 @@ import numpy as np
 from plumbline.llm.common import parts, remembers
 
 #: Words whose ids a worker remembers (about 200 bytes each): where it serves this operator alone, and where it serves others too.
-CACHE_WORDS, SMALL_CACHE_WORDS = 1_250_000, 500_000
+CACHE_WORDS, SMALL_CACHE_WORDS = 1_250_000, 200_000
 #: First words of texts that it remembers.
 FIRST_WORDS = 50_000
 
@@ -19,7 +19,7 @@ FIRST_WORDS = 50_000
 MARK, JOINED = "\x01", 1024
 
 #: Texts that a worker remembers whole, and the characters they have at most.
-COPIES, COPY_CHARS = 2_000, 16_384
+COPIES, COPY_CHARS = 1_000, 16_384
 
 _loaded: dict[str, "Encoder"] = {}
 
