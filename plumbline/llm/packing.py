@@ -192,8 +192,8 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
             plan = plan + best_fit_decreasing(rest, capacity)
             if best is None or sum(m for _, m in plan) < sum(m for _, m in best):
                 best = plan
-        if sum(m for _, m in best) <= bound + 1:
-            break
+            if sum(m for _, m in best) <= bound + 1:
+                return whole + best
     return whole + (best or [])
 
 
