@@ -10,12 +10,14 @@ import numpy as np
 
 from plumbline.llm.common import parts, remembers
 
-#: Words whose ids a worker remembers (about 200 bytes each), beyond which its memory is emptied: where it serves this operator alone, and where it serves others too.
-CACHE_WORDS, SMALL_CACHE_WORDS = 1_250_000, 200_000
+#: Words whose ids a worker remembers (about 200 bytes each), in two halves of which the older goes: where it serves this operator alone, and where it serves others too.
+CACHE_WORDS, SMALL_CACHE_WORDS = 1_000_000, 200_000
 
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
 MARK, JOINED = "\x01", 1024
 
+#: First words of texts that it remembers.
+FIRST_WORDS = 50_000
 #: Texts that a worker remembers whole, and the characters they have at most.
 COPIES, COPY_CHARS = 1_000, 16_384
 
@@ -42,6 +44,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.copies: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.mark = " " + MARK
         self.mark_ids = self.library.encode(self.mark, add_special_tokens=False).ids
@@ -84,13 +87,18 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        spaced = self.spaced
-        if len(self.known) + len(spaced) > self.cache_words:
+        if len(self.known) > FIRST_WORDS:
             self.known.clear()
-            spaced.clear()
+        if 2 * len(self.spaced) > self.cache_words:
+            # words that are met again come back from the older half, the others go with it
+            self.older, self.spaced = self.spaced, {}
+        spaced, older = self.spaced, self.older
         cut = [(text.split(" ") if "  " not in text else [text]) if text else [""] for text in texts]
         firsts = [self._first(x.pop(0)) for x in cut]
         if new := set().union(*cut).difference(spaced):
+            if again := new.intersection(older):
+                spaced.update(zip(again, map(older.__getitem__, again)))
+                new -= again
             self._learn(list(new))
         ids_of = spaced.__getitem__
         return [b"".join([first, *map(ids_of, rest), end]) for first, rest in zip(firsts, cut)]
