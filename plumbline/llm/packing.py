@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, salted_rank, small_batches, written
-from plumbline.llm.tokenizing import CACHE_WORDS, encoder, tokenizer_path
+from plumbline.llm.tokenizing import LARGE_CACHE_WORDS, encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -197,7 +197,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return whole + (best or [])
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = LARGE_CACHE_WORDS) -> DataFrame:
     """The token pieces of every whole text: only texts of more than `capacity` tokens are cut.
 
     A null or empty text is the end id alone. A null doc_id and repeated rows

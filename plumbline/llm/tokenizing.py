@@ -10,8 +10,8 @@ import numpy as np
 
 from plumbline.llm.common import parts, remembers
 
-#: Words whose ids a worker remembers (about 200 bytes each), beyond which its memory is emptied: where it serves this operator alone, and where it serves others too.
-CACHE_WORDS, SMALL_CACHE_WORDS = 1_000_000, 200_000
+#: Words whose ids a worker remembers (about 200 bytes each), beyond which its memory is emptied: beside a sort of texts, where it serves this operator alone, and where it serves others too.
+CACHE_WORDS, LARGE_CACHE_WORDS, SMALL_CACHE_WORDS = 1_000_000, 1_250_000, 200_000
 
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
 MARK, JOINED = "\x01", 1024
