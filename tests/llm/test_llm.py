@@ -304,6 +304,38 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, bucket):
         assert sorted(x["doc_id"] for x in near.keep_one_of_each_group(df, broadcast_rows=most).collect()) == want
 
 
+@pytest.mark.parametrize("bucket", [512, 40])
+def test_near_duplicates_of_one_template_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    template = r.choices(vocabulary, k=1000)
+    docs = []
+    for _ in range(250):
+        w = list(template)
+        for i in r.sample(range(1000), r.randint(12, 17)):
+            w[i] = r.choice(vocabulary)
+        docs.append(" ".join(w))
+    sets = [np.unique(sim.shingle_hashes(t, 5)) for t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted({find(i) for i in range(len(docs))})
+    assert 20 < len(want) < 230
+    got = near.keep_one_of_each_group(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
 def test_near_duplicates_odd(odd, empty):
     out = near.keep_one_of_each_group(odd)
     assert out.columns == odd.columns and near.keep_one_of_each_group(empty).count() == 0
