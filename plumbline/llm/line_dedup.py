@@ -42,8 +42,30 @@ def _runs() -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(CHUNKINGS)])))
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id, __key, __lines, first, n and chunk (hash) of every chunk that may be removed."""
+def _windows() -> Column:
+    """(first, n) from __lines: the long lines, and of LEAST_CHARS and two lines at least the shortest windows that end at a line or begin at one.
+
+    Whatever passage of so many lines and characters repeats, the windows inside it cover all its lines.
+    """
+    place = "array<struct<i:int,c:int>>"
+    start = F.struct(F.lit(0).alias("c"), F.array().cast(place).alias("tail"), F.lit(False).alias("met"), F.array().cast("array<struct<first:int,n:int>>").alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        # the tail has the starts from that of the last window on; a window that begins earlier has more characters
+        end = a["c"] + F.length(F.get("__lines", e))
+        enough = F.size(F.filter(a["tail"], lambda x: end - x["c"] >= LEAST_CHARS))
+        skip = F.when(a["met"] & (enough > 1), 1).otherwise(0)
+        new = F.transform(F.slice(a["tail"], skip + 1, enough - skip), lambda x: F.struct(x["i"].alias("first"), (e - x["i"] + 1).alias("n")))
+        tail = F.concat(F.slice(a["tail"], F.greatest(enough, F.lit(1)), F.size(a["tail"])), F.array(F.struct(e.alias("i"), a["c"].alias("c"))))
+        return F.struct(end.alias("c"), tail.alias("tail"), (a["met"] | (enough > 0)).alias("met"), F.concat(a["out"], new).alias("out"))
+
+    at = F.sequence(F.lit(0), F.size("__lines") - 1)
+    long_ = F.transform(F.filter(at, lambda i: F.length(F.get("__lines", i)) >= LONG_LINE), lambda i: F.struct(i.alias("first"), F.lit(1).alias("n")))
+    return F.concat(long_, F.aggregate(at, start, step, lambda a: a["out"]))
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """__id, __key, __lines, first, n and chunk (hash) of every chunk, or with passages of every window, that may be removed."""
     every = F.lit((1 << CHUNKINGS) - 1)
     long_ = lambda i: F.length(F.get("__lines", i)) >= LONG_LINE
 
@@ -52,17 +74,23 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.when((i == 0) | long_(i) | long_(i - 1), every).otherwise(before.bitwiseOR(after).bitwiseAND(F.lit((1 << CHUNKINGS) - 1)).cast("int"))
 
     rows = _lines(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text").filter("__lines is not null")
-    rows = rows.withColumn("__at", F.transform(F.sequence(F.lit(0), F.size("__lines") - 1), begins))
-    rows = rows.select("__id", "__key", "__lines", "__hashes", F.explode(_runs()).alias("run"))
+    if not passages:
+        rows = rows.withColumn("__at", F.transform(F.sequence(F.lit(0), F.size("__lines") - 1), begins))
+    rows = rows.select("__id", "__key", "__lines", "__hashes", F.explode(_windows() if passages else _runs()).alias("run"))
     chars = F.aggregate(F.slice("__lines", F.col("run.first") + 1, F.col("run.n")), F.lit(0), lambda a, x: a + F.length(x))
-    rows = rows.filter((chars >= LONG_LINE) | (F.col("run.n") > 1) & (chars >= LEAST_CHARS))
+    if not passages:
+        rows = rows.filter((chars >= LONG_LINE) | (F.col("run.n") > 1) & (chars >= LEAST_CHARS))
     hash_ = F.xxhash64(F.slice("__hashes", F.col("run.first") + 1, F.col("run.n")))
     return rows.select("__id", "__key", "__lines", F.col("run.first").alias("first"), F.col("run.n").alias("n"), hash_.alias("chunk"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, passages: bool = False) -> DataFrame:
     """docs with the repeated chunks cut out of the text, and removed_lines, the number of lines cut.
 
+    With passages, windows take the place of chunks: every passage of two lines
+    and LEAST_CHARS characters or more, and every long line, that stands in an
+    earlier place goes whole. A window that overlaps its own first occurrence stays.
+
     The first occurrence, which stays, is that of the smallest id (null first),
     then of the smallest text hash and line. Rows that are equal in id and text
     count as one document and are treated alike. A null or empty text stays as
@@ -73,7 +101,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     docs, new = shielded(docs)
     id_col, text_col = new[id_col], new[text_col]
-    rows = chunks(docs, id_col, text_col)
+    rows = chunks(docs, id_col, text_col, passages)
     place = F.struct("__id", "__key", "first")
     repeated = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter("times > 1")
     repeated = written(repeated.select("chunk", "kept"), "repeated")
@@ -95,6 +123,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = written(repeated.join(unlike, "chunk", "left_anti"), "sure")
 
     cut = hits(["__id", "__key", "first", "n", "kept"], sure).filter(~F.struct("__id", "__key", "first").eqNullSafe(F.col("kept")))
+    if passages:
+        cut = cut.filter(~(F.col("__id").eqNullSafe(F.col("kept.__id")) & (F.col("__key") == F.col("kept.__key")) & (F.col("first") < F.col("kept.first") + F.col("n"))))
     cut = written(cut.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n")).alias("__cut")), "cut")
     cut = cut.select(F.col("__id").alias("__cut_id"), F.col("__key").alias("__cut_key"), "__cut")
     cut = sized(cut, broadcast_rows)
@@ -108,4 +138,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), passages=True)

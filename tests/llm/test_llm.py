@@ -143,6 +143,20 @@ def test_line_dedup_equals_brute_force(spark, odd, empty):
     assert ld.dedup_lines(empty).count() == 0
 
 
+def test_repeated_passages_go_whole(spark):
+    r = random.Random(8)
+    new = lambda k: " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(k))
+    passages = [[new(r.choice([0, 1, 3, 9])) for _ in range(n)] + [new(5), new(5)] for n in (0, 0, 0, 1, 2, 4, 6) for _ in range(8)]
+    docs = [(2 * i + k, "\n".join([new(6), *p, new(6)])) for i, p in enumerate(passages) for k in (0, 1)]
+    again = "\n".join([new(8)] * 7)
+    df = spark.createDataFrame([*docs, (1000, again)], "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    for i, t in docs:
+        lines = t.split("\n")
+        assert got[i].split("\n") == ([lines[0], lines[-1]] if i % 2 else lines)
+    assert got[1000] == "\n".join(again.split("\n")[:2])
+
+
 def test_native_plans_have_no_python(spark, odd):
     for df in (ld.dedup_lines(odd), lic.scan_licenses(odd), dec.benchmark_hits(odd, spark.createDataFrame([(1, LONG[:300])], "item_id long, text string"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
