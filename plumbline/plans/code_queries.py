@@ -114,9 +114,9 @@ def code_lines(s, d):
     return table(s, d, "documents").select("doc_id", M.code_lines(F.col("text"), ["The", "De", "La"]).alias("code_lines"))
 
 
-def _methods(s, d):
+def _methods(s, d, every=4):
     """A customer's order is a method: its nation is the class, its segment the file."""
-    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderkey % 4 = 0")
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter(F.col("o_orderkey") % every == 0)
     k = F.col("o_orderkey")
     f = lambda m: F.concat(F.lit("g"), (k % m).cast("string"))
     foreign = F.transform(F.sequence(F.lit(0), (k % 9).cast("int")), lambda i: F.struct(F.when(i % 4 == 3, F.lit("?")).otherwise(F.concat(F.lit("N"), ((F.col("c_nationkey") + 1 + (i % 2) * (k % 3)) % 25).cast("string"))).alias("recv"), F.concat(F.lit("x"), i.cast("string")).alias("field")))
@@ -237,7 +237,7 @@ SELECT f.call AS src, id AS dst, max(CASE WHEN way <= 1 THEN 4 WHEN way = 2 THEN
 
 
 def lcom4(s, d):
-    return C.lcom4(_methods(s, d).filter("id % 16 = 0"))
+    return C.lcom4(_methods(s, d, every=1))
 
 
 def anomalies(s, d):

@@ -53,3 +53,10 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lcom4_reads_every_method(spark, monkeypatch):
+    from plumbline.plans import code_queries
+
+    monkeypatch.setattr(code_queries.C, "lcom4", lambda methods: methods)
+    assert code_queries.lcom4(spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
