@@ -141,7 +141,10 @@ SELECT fix, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY fix ORD
 def defect_prone_functions(s, d):
     lines = table(s, d, "lineitem")
     blames = lines.select(F.col("l_orderkey").alias("fix"), F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("function"), F.col("l_partkey").alias("introducer"))
-    cosmetic = _parts(s, d).filter("p_size % 3 = 0").select(F.col("p_partkey").alias("introducer")).join(table(s, d, "supplier").filter("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("path")))
+    # of the pairs of such a part and such a supplier those that a blame has; all of them would be a product of two tables
+    cosmetic = blames.select("introducer", "path").distinct()
+    cosmetic = cosmetic.join(_parts(s, d).filter("p_size % 3 = 0").select(F.col("p_partkey").alias("introducer")), "introducer", "left_semi")
+    cosmetic = cosmetic.join(table(s, d, "supplier").filter("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("path")), "path", "left_semi")
     return H.defect_prone(blames, cosmetic)
 
 
