@@ -60,9 +60,10 @@ def subsumed_smells(s, d):
 
 
 SUBSUMED_SQL = f"""
-WITH {FINDINGS}
-SELECT path, function, smell, value FROM findings f
-WHERE NOT (smell IN ('complex_method', 'large_method', 'deep_nested_complexity') AND EXISTS (SELECT 1 FROM findings g WHERE g.smell = 'god_method' AND g.path = f.path AND g.function = f.function AND g.start_line = f.start_line))"""
+WITH {FINDINGS},
+god AS (SELECT DISTINCT path, function, start_line FROM findings WHERE smell = 'god_method')
+SELECT f.path AS path, f.function AS function, smell, value FROM findings f LEFT JOIN god g ON g.path = f.path AND g.function = f.function AND g.start_line = f.start_line
+WHERE g.path IS NULL OR smell NOT IN ('complex_method', 'large_method', 'deep_nested_complexity')"""
 
 
 def edit_range_smells(s, d):
@@ -114,32 +115,32 @@ def code_lines(s, d):
     return table(s, d, "documents").select("doc_id", M.code_lines(F.col("text"), ["The", "De", "La"]).alias("code_lines"))
 
 
-def _methods(s, d, every=4):
+def _methods(s, d):
     """A customer's order is a method: its nation is the class, its segment the file."""
-    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter(F.col("o_orderkey") % every == 0)
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     f = lambda m: F.concat(F.lit("g"), (k % m).cast("string"))
     foreign = F.transform(F.sequence(F.lit(0), (k % 9).cast("int")), lambda i: F.struct(F.when(i % 4 == 3, F.lit("?")).otherwise(F.concat(F.lit("N"), ((F.col("c_nationkey") + 1 + (i % 2) * (k % 3)) % 25).cast("string"))).alias("recv"), F.concat(F.lit("x"), i.cast("string")).alias("field")))
-    return o.select(k.alias("id"), F.col("c_mktsegment").alias("file"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("class"), F.concat(F.lit("m"), (k % 97).cast("string")).alias("name"), (k % 5 + 1).alias("cc"), F.array(f(40), f(37)).alias("fields"), foreign.alias("foreign"), (k % 50 == 0).alias("is_ctor"))
+    return o.select(k.alias("id"), "o_custkey", F.col("c_mktsegment").alias("file"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("class"), F.concat(F.lit("m"), (k % 97).cast("string")).alias("name"), (k % 5 + 1).alias("cc"), F.array(f(40), f(37)).alias("fields"), foreign.alias("foreign"), (k % 50 == 0).alias("is_ctor"))
 
 
 METHODS = """
 me AS (
-  SELECT o_orderkey AS id, c_mktsegment AS file, 'N' || c_nationkey AS class, c_nationkey AS nk, 'm' || o_orderkey % 97 AS name, o_orderkey % 5 + 1 AS cc, ['g' || o_orderkey % 40, 'g' || o_orderkey % 37] AS fields, o_orderkey % 50 = 0 AS is_ctor
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0),
+  SELECT o_orderkey AS id, o_custkey AS custkey, c_mktsegment AS file, 'N' || c_nationkey AS class, c_nationkey AS nk, 'm' || o_orderkey % 97 AS name, o_orderkey % 5 + 1 AS cc, ['g' || o_orderkey % 40, 'g' || o_orderkey % 37] AS fields, o_orderkey % 50 = 0 AS is_ctor
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 foreign_use AS (SELECT id, file, class, CASE WHEN i % 4 = 3 THEN '?' ELSE 'N' || (nk + 1 + (i % 2) * (id % 3)) % 25 END AS recv, 'x' || i AS field FROM (SELECT *, unnest(range(0, id % 9 + 1)) AS i FROM me))"""
 
 
 def _calls(s, d):
-    ids = table(s, d, "orders").filter("o_orderkey % 4 = 0").select("o_orderkey")
-    e = ids.select(F.col("o_orderkey").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select("src", (F.floor(F.col("src") * F.col("i") / 7 / 4) * 4).cast("long").alias("dst"))
+    ids = table(s, d, "orders").select("o_orderkey")
+    e = ids.select(F.col("o_orderkey").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select("src", F.floor(F.col("src") * F.col("i") / 7).cast("long").alias("dst"))
     return e.join(ids.withColumnRenamed("o_orderkey", "dst"), "dst", "left_semi").distinct().withColumn("confidence", F.lit(3))
 
 
 CALLS = """
 calls AS (
-  SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, CAST(floor(o_orderkey * i / 7 / 4) * 4 AS BIGINT) AS dst FROM orders, (SELECT unnest([1, 2, 3]) AS i) WHERE o_orderkey % 4 = 0)
-  WHERE dst IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0))"""
+  SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, CAST(floor(o_orderkey * i / 7) AS BIGINT) AS dst FROM orders, (SELECT unnest([1, 2, 3]) AS i))
+  WHERE dst IN (SELECT o_orderkey FROM orders))"""
 
 
 def class_metrics(s, d):
@@ -217,7 +218,7 @@ SELECT file, class, in_classes, out_classes, methods FROM n JOIN i ON n.c = i.c
 def call_resolution(s, d):
     m = _methods(s, d).select("id", "class", "name")
     k = F.col("o_orderkey")
-    calls = table(s, d, "orders").filter("o_orderkey % 4 = 0").select(
+    calls = table(s, d, "orders").select(
         k.alias("call"), k.alias("src"), F.when(k % 3 == 0, F.concat(F.lit("N"), (k % 25).cast("string"))).alias("receiver_type"), F.concat(F.lit("N"), (k % 24).cast("string")).alias("src_class"),
         F.when(k % 8 == 0, F.concat(F.lit("N"), (k % 23).cast("string"))).alias("hint_class"), F.concat(F.lit("m"), (k % 101).cast("string")).alias("callee"),
     )
@@ -227,7 +228,7 @@ def call_resolution(s, d):
 RESOLVE_SQL = f"""
 WITH {METHODS},
 c AS (
-  SELECT o_orderkey AS call, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey % 25 END AS r, 'N' || o_orderkey % 24 AS s, CASE WHEN o_orderkey % 8 = 0 THEN 'N' || o_orderkey % 23 END AS h, 'm' || o_orderkey % 101 AS callee FROM orders WHERE o_orderkey % 4 = 0),
+  SELECT o_orderkey AS call, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey % 25 END AS r, 'N' || o_orderkey % 24 AS s, CASE WHEN o_orderkey % 8 = 0 THEN 'N' || o_orderkey % 23 END AS h, 'm' || o_orderkey % 101 AS callee FROM orders),
 spread AS (SELECT name, count(DISTINCT class) AS classes FROM me GROUP BY name),
 f AS (
   SELECT call, id, 0 AS way, 1 AS classes FROM c JOIN me ON r = class AND callee = name UNION ALL SELECT call, id, 1, 1 FROM c JOIN me ON s = class AND callee = name
@@ -237,7 +238,7 @@ SELECT f.call AS src, id AS dst, max(CASE WHEN way <= 1 THEN 4 WHEN way = 2 THEN
 
 
 def lcom4(s, d):
-    return C.lcom4(_methods(s, d, every=1))
+    return C.lcom4(_methods(s, d))
 
 
 def anomalies(s, d):
@@ -262,15 +263,15 @@ SELECT a.root AS root_a, b.root AS root_b, count(*) AS overlap FROM t a JOIN t b
 
 
 def refused_bequest(s, d):
-    m = _methods(s, d)
+    m = _methods(s, d).withColumn("name", F.concat(F.lit("m"), (F.col("o_custkey") % 2000).cast("string")))
     parents = s.range(25).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("class"), F.concat(F.lit("N"), ((F.col("id") + 1) % 25).cast("string")).alias("parent"), (F.col("id") % 4 != 0).alias("concrete"))
     calls = table(s, d, "part").select(F.concat(F.lit("N"), (F.col("p_partkey") % 25).cast("string")).alias("src_class"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("callee"))
-    out = C.refused_bequest(m.filter("id % 36 = 0"), calls, parents, replace(DEFAULTS.named, bequest_ratio=0.65))
+    out = C.refused_bequest(m, calls, parents, replace(DEFAULTS.named, bequest_ratio=0.65))
     return out.select("class", "parent", "parent_methods", "used", "overridden", F.round("used_ratio", 6).alias("used_ratio"), F.round("override_ratio", 6).alias("override_ratio"))
 
 
 BEQUEST_SQL = f"""
-WITH {METHODS}, own AS (SELECT DISTINCT class, name FROM me WHERE NOT is_ctor AND id % 36 = 0),
+WITH {METHODS}, own AS (SELECT DISTINCT class, 'm' || custkey % 2000 AS name FROM me WHERE NOT is_ctor),
 p AS (SELECT 'N' || i AS class, 'N' || (i + 1) % 25 AS parent FROM (SELECT unnest(range(25)) AS i) WHERE i % 4 <> 0),
 given AS (SELECT p.class, p.parent, name FROM p JOIN own ON own.class = p.parent),
 c AS (SELECT DISTINCT 'N' || p_partkey % 25 AS class, 'm' || p_size AS name FROM part),

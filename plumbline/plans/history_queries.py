@@ -127,12 +127,12 @@ GROUP BY b.file HAVING count(DISTINCT p_brand) > 3 ORDER BY distinct_packages DE
 
 
 def deleted_line_ranges(s, d):
-    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("fix"), F.col("l_linenumber").cast("long").alias("line")).filter("(fix + line) % 4 <> 0")
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("fix"), F.col("l_quantity").cast("long").alias("line"))
     return H.line_ranges(lines, ["fix"])
 
 
 RANGES_SQL = """
-WITH lines AS (SELECT DISTINCT l_orderkey AS fix, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE (l_orderkey + l_linenumber) % 4 <> 0),
+WITH lines AS (SELECT DISTINCT l_orderkey AS fix, CAST(l_quantity AS BIGINT) AS line FROM lineitem),
 runs AS (SELECT *, line - row_number() OVER (PARTITION BY fix ORDER BY line) AS island FROM lines),
 ranges AS (SELECT fix, min(line) AS start, max(line) AS "end" FROM runs GROUP BY fix, island)
 SELECT fix, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY fix ORDER BY start) AS n FROM ranges) WHERE n <= 40"""
