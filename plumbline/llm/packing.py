@@ -5,9 +5,14 @@ the histogram of piece lengths: a variable for each way to fill a sequence
 (a configuration), a covering constraint for each length. Multiplicative
 weights solve it without listing the configurations: a length's weight falls as
 its constraint is covered, and the next configurations are those of most weight,
-found by a knapsack dynamic program over the capacity. The fractional counts are
-rounded down; what the rounding leaves is solved again, and the last remainder,
-at most a few configurations' worth, is packed best-fit in decreasing order.
+found by a knapsack dynamic program over the capacity. The weights are also
+prices of a dual solution, which bounds the number of sequences from below.
+
+The fractional counts are rounded down; what that leaves (all of it where there
+are few pieces of a length) is priced on, with configurations taken in whole
+numbers and only of pieces that are left. The last small part of all tokens,
+mostly short pieces, is put best-fit in decreasing order into the room that is
+left in the sequences, and into new ones.
 
 Only the histogram (at most `capacity` rows) goes to the driver, and only the
 plan, whose size depends on the number of lengths and not on the number of
@@ -18,7 +23,10 @@ rows.
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,87 +39,131 @@ from plumbline.llm.tokenizing import LARGE_CACHE_WORDS, encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: How fast a length's weight falls as it is covered, and the part of a length's rows that one step may cover.
-RATE, STEP = 3.0, 0.25
-#: Configurations taken from one pricing, and pricings in one solution of the program.
-PER_PRICING, PRICINGS = 96, 48
-#: Solutions of the program over what rounding has left.
-ROUNDS = 3
-#: Powers of a length's share of the capacity that are its first weight; each is solved.
-POWERS = (1.0, 1.1, 2.0)
-#: Shares to which a configuration has to be filled, of which rounding tries each.
-SHARES = (0.0, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0)
+#: How fast a length's weight falls as it is covered, and the part of the pieces at hand that one configuration takes.
+RATE, STEP = 3.0, 0.5
+#: Configurations taken from one pricing, and classes of neighbouring lengths that it tells apart; one in EXACT_PRICINGS is by all lengths, for the lower bound.
+PER_PRICING, CLASSES, EXACT_PRICINGS = 32, 128, 100
+#: Parts of one sequence in which the program's numbers are counted.
+FRACTION = 8
+#: Powers of a length's share of the capacity that are its first weight; each is solved until the bound is met. Over 1, a long piece is worth more than short ones of the same length together, which are kept to fill up others.
+POWERS = (1.1, 2.0, 1.0)
+#: A configuration that fills a sequence to the last token is taken if it is worth this part of the pricing's best.
+FULL = 0.95
+#: Parts of all tokens that are left to the last, best-fit step; each is tried.
+TAILS = (0.1, 0.07, 0.05)
+#: Part of the bound that a plan may have more sequences than it, without another of the POWERS being tried.
+GAP = 1e-4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the most value within each capacity, and the length index taken there (-1: none)."""
-    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            got = best[c - lengths[:k]] + values[:k]
-            j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], taken[c] = got[j], j
-    return best, taken
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the most value within each capacity. As many capacities are done at once as the shortest length has tokens, for these do not depend on each other."""
+    best, shortest = np.zeros(capacity + 1), int(lengths[0])
+    for c in range(shortest, capacity + 1, shortest):
+        own = np.arange(c, min(c + shortest, capacity + 1))
+        k = int(np.searchsorted(lengths, own[-1], side="right"))
+        at = own[None, :] - lengths[:k, None]
+        got = np.where(at >= 0, best[np.maximum(at, 0)] + values[:k, None], 0.0).max(axis=0)
+        best[own] = np.maximum.accumulate(np.maximum(got, best[c - 1]))
+    return best
+
+
+def _priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The pricing by the worthiest length of each capacity / CLASSES neighbours, without lengths under one such class where there are longer ones."""
+    kind = lengths * CLASSES // capacity
+    order = np.lexsort((lengths, -weights, kind))
+    first = order[np.flatnonzero(np.diff(kind[order], prepend=-1))]
+    if (kind[first] > 0).any():
+        first = first[kind[first] > 0]
+    return price(weights[first], lengths[first], capacity)
 
 
-def _filled(c: int, taken: np.ndarray, lengths: np.ndarray) -> list[int]:
-    out = []
+def _fill(c: int, best: np.ndarray, values: np.ndarray, lengths: np.ndarray, left: np.ndarray) -> list[int]:
+    """Lengths that fill c as the pricing says, no more of a length than left (by length) has.
+
+    One or two pieces that fill it to the last token go before the pricing's
+    next choice, which supposes that there are enough of each length.
+    """
+    out: list[int] = []
     while c > 0:
-        j = int(taken[c])
-        if j < 0:
-            c -= 1
+        free = left[: c + 1] > 0
+        if free[c]:
+            one, pair = [c], values[c]
         else:
-            out.append(j)
-            c -= int(lengths[j])
+            both = free & free[::-1]
+            if c % 2 == 0 and left[c // 2] < 2:
+                both[c // 2] = False
+            at = np.flatnonzero(both)
+            one, pair = [], -1.0
+            if len(at):
+                worth = values[at] + values[c - at]
+                k = int(at[worth.argmax()])
+                one, pair = [k, c - k], float(worth.max())
+        if one and pair >= FULL * best[c]:
+            out += one
+            for x in one:
+                left[x] -= 1
+            break
+        k = int(np.searchsorted(lengths, c, side="right"))
+        got = np.where(left[lengths[:k]] > 0, best[c - lengths[:k]] + values[lengths[:k]], -1.0)
+        if not k or (j := int(got.argmax())) < 0 or got[j] < 0:
+            break
+        x = int(lengths[j])
+        out.append(x)
+        left[x] -= 1
+        c -= x
+    for x in out:
+        left[x] += 1
     return out
 
 
-def solve(counts: dict[int, int], capacity: int, step: float, power: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations (count by length) and their fractional numbers, which together cover every length about once.
+def cover(counts: dict[int, int], capacity: int, power: float, tail: float, bounded: bool = False) -> tuple[Plan, dict[int, int], float]:
+    """Configurations and whole numbers of them for all but a part `tail` of the tokens, the pieces left, and a lower bound of any solution, fractional ones too.
 
-    power: over 1, a
-    long piece is worth more than short ones of the same length together, which
-    are kept to fill up others.
+    Multiplicative weights: a length's weight falls as it is covered. Under a
+    pricing the least covered lengths ask in turn, the longest first, for the
+    best configuration that has them. The bound: prices under which no
+    configuration is worth more than one give the pieces a total worth that no
+    solution is below.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     need = np.array([counts[int(x)] for x in lengths], dtype=float)
-    left, out = need.copy(), []
-    for _ in range(PRICINGS):
-        if not (left > 1e-9).any():
-            break
-        weights = (lengths / capacity) ** power * np.exp(-RATE * (1 - left / need))
-        weights[left <= 1e-9] = 0
-        _, taken = price(weights, lengths, capacity)
-        # each of the least covered lengths asks for the best configuration that has it
-        open_ = np.flatnonzero(left > 1e-9)
-        open_ = open_[np.lexsort((-lengths[open_], -np.round(left[open_] / need[open_], 2)))][:PER_PRICING]
-        for j in open_:
-            if left[j] <= 1e-9:
+    left, plan = np.zeros(capacity + 1, dtype=np.int64), []
+    left[lengths] = [counts[int(x)] for x in lengths]
+    total = float((need * lengths).sum())
+    bound, values, pricings = total / capacity, np.zeros(capacity + 1), 0
+    while (now := left[lengths]) @ lengths > tail * total:
+        weights = np.where(now > 0, (lengths / capacity) ** power * np.exp(-RATE * (1 - now / need)), 0.0)
+        open_ = np.flatnonzero(now)
+        values[:] = 0
+        values[lengths[open_]] = weights[open_]
+        if bounded and pricings % EXACT_PRICINGS == 0:
+            bound = max(bound, float((need * weights).sum() / price(weights[open_], lengths[open_], capacity)[capacity]))
+        pricings += 1
+        best = _priced(weights[open_], lengths[open_], capacity)
+        asking = lengths[open_[np.lexsort((-lengths[open_], -np.round(now[open_] / need[open_], 2)))][:PER_PRICING]].tolist()
+        for x in asking:
+            if not left[x]:
                 continue
-            held = [int(j), *_filled(capacity - int(lengths[j]), taken, lengths)]
+            left[x] -= 1
+            held = [x, *_fill(capacity - x, best, values, lengths, left)]
+            left[x] += 1
             kinds, times = np.unique(held, return_counts=True)
-            most = float((left[kinds] / times).min())
-            if most <= 1e-9:
-                continue
-            many = min(most, max(step * float((need[kinds] / times).min()), min(1.0, most)))
+            many = max(1, int(STEP * int((left[kinds] // times).min())))
             left[kinds] -= many * times
-            out.append(({int(lengths[k]): int(t) for k, t in zip(kinds, times)}, many))
-    return out
+            plan.append((tuple(sorted(held, reverse=True)), many))
+    return plan, {int(x): int(left[x]) for x in lengths if left[x]}, bound
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
-    """Best fit over the histogram: sequences of one content are one entry, and equal pieces are placed together."""
+def best_fit_decreasing(counts: dict[int, int], capacity: int, opened: Plan | None = None) -> Plan:
+    """Best fit over the histogram: sequences of one content are one entry, and equal pieces are placed together. opened: sequences to fill up."""
     by_room: dict[int, list[list]] = {}
-    rooms: list[int] = []
-    import bisect
-
+    for held, many in opened or []:
+        by_room.setdefault(capacity - sum(held), []).append([held, many])
+    rooms: list[int] = sorted(by_room)
     for length in sorted(counts, reverse=True):
         n = counts[length]
         while n > 0:
@@ -145,56 +197,56 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [(held, many) for entries in by_room.values() for held, many in entries]
 
 
-def _rounded(counts: dict[int, int], capacity: int, power: float) -> tuple[Plan, dict[int, int]]:
-    """Whole numbers of configurations, and the pieces that these leave. What rounding down leaves is solved again."""
-    left, plan = dict(counts), []
-    for round_ in range(ROUNDS):
-        before = sum(left.values())
-        if before < 2:
-            break
-        for held, many in sorted(solve(left, capacity, STEP if round_ == 0 else 1.0, power), key=lambda x: (-x[1], sorted(x[0].items()))):
-            many = min(int(many + 1e-6), *(left.get(k, 0) // t for k, t in held.items()))
-            if many > 0:
-                plan.append((tuple(sorted((k for k, t in held.items() for _ in range(t)), reverse=True)), many))
-                for k, t in held.items():
-                    left[k] -= many * t
-        left = {k: v for k, v in left.items() if v}
-        if sum(left.values()) > 0.98 * before:
-            break
-    return plan, left
+def rounded(solution: Plan, counts: dict[int, int], capacity: int, power: float) -> Iterator[tuple[Plan, dict[int, int]]]:
+    """Whole sequences from a solution in FRACTIONs of a sequence, and the pieces that these leave, for each of TAILS.
 
-
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    The numbers are rounded down; what that leaves is covered by whole configurations.
+    """
+    left, plan = dict(counts), []
+    for held, parts in sorted(solution, key=lambda c: (-c[1], c[0])):
+        times = Counter(held)
+        if (many := min(parts // FRACTION, *(left[k] // t for k, t in times.items()))) > 0:
+            plan.append((held, many))
+            for k, t in times.items():
+                left[k] -= many * t
+    left = {k: n for k, n in left.items() if n}
+    total = sum(k * n for k, n in counts.items())
+    for tail in TAILS:
+        if rest := sum(k * n for k, n in left.items()):
+            more, left, _ = cover(left, capacity, power, min(1.0, tail * total / rest))
+            plan = plan + more
+        yield plan, left
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, figures: dict | None = None) -> Plan:
     """Contents of sequences (lengths in descending order) and how many there are of each. Every piece is in exactly one.
 
-    Rounding: of the program's solution those configurations are taken whole
-    that are filled to a share at least; the pieces of the others join the
-    remainder. Of the POWERS of the first weights and the shares SHARES those are taken
-    that lead to the fewest sequences; no more are tried once the bound by
-    total length is met.
+    Of the POWERS of the first weights that is taken which leads to the fewest
+    sequences; no more are tried once the bound is met, but for a part GAP. Where plain best-fit in
+    decreasing order should need fewer, its plan is taken. figures receives the
+    bound, the fractional optimum's estimate, the sequences, how many of them
+    begin as a configuration, and what plain best-fit needs.
     """
     left = {int(k): int(v) for k, v in counts.items() if v}
     if any(not 0 < k <= capacity for k in left):
         raise ValueError("a piece has a length outside 1..capacity")
     whole: Plan = [((capacity,), left.pop(capacity))] if capacity in left else []
-    bound = -(-sum(k * v for k, v in left.items()) // capacity)
-    best: Plan | None = None
-    for power in POWERS:
-        solved, remainder = _rounded(left, capacity, power)
-        for share in SHARES:
-            plan, rest = [], dict(remainder)
-            for held, many in solved:
-                if sum(held) >= share * capacity:
-                    plan.append((held, many))
-                else:
-                    for k in held:
-                        rest[k] = rest.get(k, 0) + many
-            plan = plan + best_fit_decreasing(rest, capacity)
-            if best is None or sum(m for _, m in plan) < sum(m for _, m in best):
-                best = plan
-            if sum(m for _, m in best) <= bound + 1:
-                return whole + best
-    return whole + (best or [])
+    number = lambda plan: sum(m for _, m in plan)
+    plain = best_fit_decreasing(left, capacity)
+    best, found = plain, {"plain": number(plain), "from_configurations": 0}
+    for power in POWERS if left else ():
+        solution, _, lower = cover({k: n * FRACTION for k, n in left.items()}, capacity, power, 0.0, bounded=True)
+        found["bound"] = max(found.get("bound", 0), math.ceil(lower / FRACTION - 1e-6))
+        found["fractional"] = min(found.get("fractional", math.inf), number(solution) / FRACTION)
+        for plan, rest in rounded(solution, left, capacity, power):
+            filled = best_fit_decreasing(rest, capacity, plan)
+            if number(filled) < number(best) or number(filled) == number(best) and number(plan) > found["from_configurations"]:
+                best, found["from_configurations"] = filled, number(plan)
+        if number(best) <= found["bound"] * (1 + GAP) and found["from_configurations"]:
+            break
+    if figures is not None:
+        figures.update(found, sequences=number(best))
+    return whole + [(tuple(sorted(held, reverse=True)), many) for held, many in best]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = LARGE_CACHE_WORDS) -> DataFrame:
