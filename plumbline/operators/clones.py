@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS, Mining, Module
 from plumbline.operators.graph import weak_components
+from plumbline.session import written
+
+#: Rows of a part (about 20 bytes each, two parts in a task), bands of lengths within the window's factor, pairs in one batch, and tasks.
+BLOCK, BANDS, PAIR_ROWS, MOST_TASKS = 8192, 4, 100_000, 10_000
 
 
 def exact_groups(functions: DataFrame, t: Module = DEFAULTS.module) -> DataFrame:
@@ -28,27 +38,119 @@ def allowed_distance(loc: Column, t: Mining = DEFAULTS.mining) -> Column:
     return F.least(F.lit(t.clone_distance), F.lit(7) + F.floor((F.greatest(loc, F.lit(6)) - 6) / 3).cast("int"))
 
 
+def _blocks(items: DataFrame, columns: list[str], t: Mining) -> DataFrame:
+    """items dealt to blocks x <= y, so that any two within the window of lengths meet in exactly one: rows (bx, by, own, and columns); own: 0 for a row of x, 1 of y.
+
+    A band holds lengths up to a factor, so partners are in the same band or a
+    few above. A band is cut by hash into parts of about BLOCK rows; what is in
+    one task is two parts, whatever the band's or a length's number of rows.
+    """
+    factor = (100 + t.clone_window_pct) / 100
+    step = factor ** (1 / BANDS)
+    rows = items.withColumn("band", F.floor(F.log(F.col("loc").cast("double")) / F.lit(math.log(step))).cast("int"))
+    # a row a band, of which there are as many as the logarithm of the greatest length says
+    sizes = {r["band"]: r["n"] for r in rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    low, parts = {}, 0
+    for band in sorted(sizes):
+        low[band], parts = parts, parts - (-sizes[band] // BLOCK)
+    ends = {band: low[band] - (-sizes[band] // BLOCK) for band in low}
+    # one band more than the factor reaches, against rounding at a band's edge; the parts of neighbouring bands have consecutive numbers
+    near = {band: [x for x in low if abs(x - band) <= BANDS + 1] for band in low}
+    of = [(band, low[band], ends[band] - low[band], min(low[x] for x in near[band]), max(ends[x] for x in near[band]) - 1) for band in low]
+    tasks = min(1 + sum(n * (last - first + 1) for _, _, n, first, last in of) // 8, MOST_TASKS)
+    rows = rows.join(F.broadcast(items.sparkSession.createDataFrame(of, "band int, low int, many int, first int, last int")), "band")
+    rows = rows.withColumn("part", (F.col("low") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")).withColumn("other", F.explode(F.sequence("first", "last")))
+    dealt = rows.select(F.least("part", "other").alias("bx"), F.greatest("part", "other").alias("by"), (F.col("part") > F.col("other")).cast("int").alias("own"), *columns)
+    # the number is given, for work is not in proportion to bytes
+    return dealt.repartition(tasks, "bx", "by").sortWithinPartitions("bx", "by")
+
+
+def _compared(items: DataFrame, found: Callable[[_Block], Iterator[tuple[np.ndarray, ...]]], schema: str, t: Mining) -> DataFrame:
+    """What `found` gives for every two parts that meet. items: id, word, loc, and file and start if these are to be looked at."""
+    columns = [c for c in ("id", "word", "loc", "file", "start") if c in items.columns]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[list[pa.RecordBatch]]:
+            key, held = None, []
+            for batch in batches:
+                at = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+                cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+                for p, q in zip(cuts[:-1], cuts[1:]):
+                    if q > p:
+                        if key != (key := tuple(at[:, p].tolist())) and held:
+                            yield held
+                            held = []
+                        held.append(batch.slice(p, q - p))
+            if held:
+                yield held
+
+        for held in blocks():
+            for arrays in found(_Block(pa.Table.from_batches(held))):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+    return _blocks(items.select(*columns), columns, t).mapInArrow(compare, schema)
+
+
+class _Block:
+    """The rows of two parts, sorted by length, and their near pairs."""
+
+    def __init__(self, rows: pa.Table):
+        loc = rows.column("loc").to_numpy()
+        order = np.argsort(loc, kind="stable")
+        take = lambda c: rows.column(c).to_numpy()[order]
+        self.loc, self.ids, self.words, self.own = loc[order].astype(np.int64), take("id"), take("word").view(np.uint64), take("own")
+        self.one = not self.own.any()
+        self.file = self.start = None
+        if "file" in rows.column_names:
+            self.file, self.start = rows.column("file").combine_chunks().dictionary_encode().indices.to_numpy()[order], take("start").astype(np.int64)
+
+    def limits(self, t: Mining) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the end of the rows that are not too long for it, and the bits that it may differ in from one that is no shorter."""
+        return np.searchsorted(self.loc * 100, self.loc * (100 + t.clone_window_pct), side="right"), np.minimum(t.clone_distance, 7 + (np.maximum(self.loc, 6) - 6) // 3)
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the rows are no overlapping places of one file."""
+        if self.file is None:
+            return np.ones(len(others), dtype=bool)
+        over = (self.start[i] < self.start[others] + self.loc[others]) & (self.start[others] < self.start[i] + self.loc[i])
+        return ~((self.file[others] == self.file[i]) & over)
+
+
 def near_pairs(items: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
     """(a, b, distance): SimHashes within the distance that their length allows and lengths within the window.
 
-    items: id, word (long), loc. The word is cut into clone_distance + 1 blocks;
-    words that differ in no more bits agree in some block (pigeonhole), so blocks
-    are joined by equality and nothing is compared pairwise over all rows.
+    items: id (unique, long), word (long), loc; with file and start, overlapping
+    places of one file are no pair. The distance is a fifth of the word's bits,
+    at which texts of one language are near by the million (on the tables here
+    one in sixteen of all pairs within the window), so tables of masked words
+    would meet every pair many times over. So what is compared are all pairs
+    within the window, each once: rows are dealt to bands of lengths, bands to
+    parts of BLOCK rows, and a task compares the words of two parts.
     """
-    n = t.clone_distance + 1
-    cut = [round(64 * k / n) for k in range(n + 1)]
     rows = items.filter(F.col("loc") >= t.clone_min_loc)
-    blocks = F.array(*[F.shiftrightunsigned("word", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut, cut[1:])])
-    dealt = rows.select("id", "word", "loc", F.posexplode(blocks).alias("block", "value"))
-    # the length's band keeps what cannot be within the window apart; a neighbour's band is joined too
-    band = F.floor(F.log(F.col("loc").cast("double")) / F.log(F.lit((100 + t.clone_window_pct) / 100)))
-    dealt = dealt.withColumn("band", band)
-    left = dealt.select(F.col("id").alias("a"), F.col("word").alias("wa"), F.col("loc").alias("la"), "block", "value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = dealt.select(F.col("id").alias("b"), F.col("word").alias("wb"), F.col("loc").alias("lb"), "block", "value", "band")
-    shorter, longer = F.least("la", "lb"), F.greatest("la", "lb")
-    met = left.join(right, ["block", "value", "band"]).filter(F.col("a") < F.col("b"))
-    met = met.filter(longer * 100 <= shorter * (100 + t.clone_window_pct)).withColumn("distance", F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))).cast("int"))
-    return met.filter(F.col("distance") <= allowed_distance(shorter, t)).select("a", "b", "distance").distinct()
+
+    def found(block: _Block) -> Iterator[tuple[np.ndarray, ...]]:
+        ends, most = block.limits(t)
+        left, right, bits, held = [], [], [], 0
+        for i in range(len(block.ids)):
+            d = np.bitwise_count(block.words[i + 1 : ends[i]] ^ block.words[i])
+            hit = np.flatnonzero(d <= most[i])
+            if not block.one:
+                hit = hit[block.own[i + 1 + hit] != block.own[i]]
+            if len(hit) and block.file is not None:
+                hit = hit[block.apart(i, i + 1 + hit)]
+            if len(hit):
+                others = block.ids[i + 1 + hit]
+                left.append(np.minimum(others, block.ids[i]))
+                right.append(np.maximum(others, block.ids[i]))
+                bits.append(d[hit].astype(np.int32))
+                held += len(hit)
+            if held > PAIR_ROWS or held and i + 1 == len(block.ids):
+                yield np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+                left, right, bits, held = [], [], [], 0
+
+    return _compared(rows, found, "a long, b long, distance int", t)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.operators import clones as C
 from plumbline.operators import stats as S
 from plumbline.operators import text as T
 from plumbline.plans.bindings import table
+from plumbline.session import written
 
 KEYS = ["l_returnflag", "l_linestatus"]
 #: 15 hexadecimal digits of an MD5 as a number, the same in Spark and SQL.
@@ -197,7 +198,7 @@ SIMHASH_SQL = (
 def _items(s, d):
     words = C.token_simhash(_tokens(s, d), F.expr(MD5.format("token")))
     loc = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.size(F.split("text", " ")).alias("loc"))
-    return words.join(loc, "id")
+    return written(words.join(loc, "id"), "items")
 
 
 def near_duplicate_pairs(s, d):
