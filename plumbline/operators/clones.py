@@ -153,9 +153,45 @@ def near_pairs(items: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
     return _compared(rows, found, "a long, b long, distance int", t)
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
-    """(id, cluster): the least id of all that near pairs connect."""
-    return weak_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "id", "component": "cluster"})
+def clusters(items: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
+    """(id, cluster): the least id of all that near pairs connect. items as for near_pairs; without file and start, an id is a place of its own.
+
+    Rows of one word and length (and place) are one class, by its least id.
+    Pairs are not listed: each task links what is connected inside its two
+    parts by a spanning forest, so links are in proportion to rows.
+    """
+    rows = items.filter(F.col("loc") >= t.clone_min_loc)
+    key = [c for c in ("word", "loc", "file", "start") if c in items.columns]
+    classes = written(rows.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+
+    def found(block: _Block) -> Iterator[tuple[np.ndarray, ...]]:
+        ends, most = block.limits(t)
+        begins = np.searchsorted(ends, np.arange(len(ends)), side="right")
+        free, u, v = np.ones(len(block.ids), dtype=bool), [], []
+        rest = np.flatnonzero(free)
+        while len(rest):
+            todo = [int(rest[0])]
+            free[todo[0]] = False
+            while todo:
+                i = todo.pop()
+                rest = rest[free[rest]]
+                near = rest[np.searchsorted(rest, begins[i]) : np.searchsorted(rest, ends[i])]
+                near = near[np.bitwise_count(block.words[near] ^ block.words[i]) <= np.minimum(most[near], most[i])]
+                near = near[block.apart(i, near)]
+                free[near] = False
+                u.append(np.full(len(near), block.ids[i]))
+                v.append(block.ids[near])
+                todo += near.tolist()
+            rest = rest[free[rest]]
+        if u:
+            yield np.concatenate(u), np.concatenate(v)
+
+    links = written(_compared(classes.drop("n"), found, "src long, dst long", t), "links")
+    found_ = weak_components(links).withColumnsRenamed({"node": "id", "component": "cluster"})
+    of = classes.join(found_, "id", "left").filter("cluster is not null" if "file" in key else "cluster is not null or n > 1")
+    of = of.select(*[F.col(c).alias(f"__{c}") for c in key], F.coalesce("cluster", "id").alias("cluster"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return rows.join(of, reduce(lambda x, y: x & y, same)).select("id", "cluster")
 
 
 def vulnerable_siblings(members: DataFrame, sinks: DataFrame) -> DataFrame:

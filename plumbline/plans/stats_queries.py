@@ -214,7 +214,7 @@ WHERE bit_count(xor(a.word, b.word)) <= least(12, 7 + (least(a.loc, b.loc) - 6)
 
 
 def clone_clusters(s, d):
-    return C.clusters(C.near_pairs(_items(s, d)))
+    return C.clusters(_items(s, d))
 
 
 CLUSTERS_SQL = f"""
