@@ -149,6 +149,7 @@ class Mining:
     ngram_gamma: float = 1.0
     ngram_tokens: int = 20
     ngram_zscore: float = 3.0
+    natural_functions: int = 10
     ifdef_min: int = 40
     ifdef_top: int = 12
     any_min: int = 8

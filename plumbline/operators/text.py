@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,45 +47,62 @@ def ngrams(tokens: DataFrame, order: int, keys: list[str]) -> DataFrame:
 
 
 def naturalness(functions: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
-    """(id, tokens, entropy): mean bits a token of each function under an n-gram model of all others, mixed with a cache of its own.
-
-    functions: id, group, tokens (array). For each place, counts of the last
-    tokens of each order come from a distributed count and lose the function's
-    own; probabilities of the orders are interpolated evenly from the shortest,
-    and mixed with the cache by gamma / (gamma + places seen).
+    """(id, group, tokens, entropy): mean bits a token of each function under an n-gram model of all others, mixed with a cache of its own.
+
+    functions: id (unique), group, tokens (array). For each place, counts of the
+    last tokens of each order come from one table of counts and lose the
+    function's own; probabilities of the orders are interpolated evenly from the
+    shortest, and mixed with the cache by gamma / (gamma + places seen). A place
+    and order is one narrow row (context, token), shuffled twice: to the counts,
+    which are aggregated before, and to its function. Joins sort, for the counts
+    grow with the data and compress too well for the planner's guess of a size.
     """
+    orders = range(1, t.ngram_order + 1)
     rows = functions.filter(F.size("tokens") >= t.ngram_tokens)
-    base = rows.select("id", "group", F.posexplode("tokens").alias("at", "token"), "tokens")
-    joined = None
-    scored = base.select("id", "group", "at", "token")
-    for order in range(1, t.ngram_order + 1):
-        gram = F.array_join(F.slice("tokens", F.greatest(F.col("at") - order + 2, F.lit(1)), F.lit(order)), "\x01")
-        context = F.array_join(F.slice("tokens", F.greatest(F.col("at") - order + 2, F.lit(1)), F.lit(order - 1)), "\x01") if order > 1 else F.lit("")
-        here = base.filter(F.col("at") >= order - 1).select("id", "group", "at", gram.alias("gram"), context.alias("context"))
-        own = here.groupBy("id", "group", "gram", "context").agg(F.count(F.lit(1)).alias("own"))
-        all_ = own.groupBy("group", "gram", "context").agg(F.sum("own").alias("all"))
-        own_c = own.groupBy("id", "group", "context").agg(F.sum("own").alias("own_c"))
-        all_c = all_.groupBy("group", "context").agg(F.sum("all").alias("all_c"))
-        p = own.join(all_, ["group", "gram", "context"]).join(own_c, ["id", "group", "context"]).join(all_c, ["group", "context"])
-        rest = F.col("all_c") - F.col("own_c")
-        p = p.select("id", "group", "gram", F.when(rest > 0, (F.col("all") - F.col("own")) / rest).alias(f"p{order}"))
-        got = here.join(p, ["id", "group", "gram"]).select("id", "at", f"p{order}")
-        joined = got if joined is None else joined.join(got, ["id", "at"], "left")
-    vocabulary = base.groupBy("group").agg(F.count_distinct("token").alias("v"))
-    scored = scored.join(joined, ["id", "at"]).join(vocabulary, "group")
+
+    def gram_at(order: int, i: Column) -> Column:
+        context = F.array_join(F.slice("tokens", F.greatest(i - order + 2, F.lit(1)), F.lit(order - 1)), "\x01") if order > 1 else F.lit("")
+        return F.struct(F.lit(order).alias("order"), i.alias("at"), context.alias("context"), F.get("tokens", i).alias("token"))
+
+    at = F.sequence(F.lit(0), F.size("tokens") - 1)
+    grams = F.flatten(F.array(*[F.transform(F.slice(at, F.lit(o), F.size("tokens")), partial(gram_at, o)) for o in orders]))
+    places = rows.select("id", "group", F.explode(grams).alias("p")).select("id", "group", "p.*")
+    counted = places.groupBy("group", "order", "context", "token").agg(F.count(F.lit(1)).alias("all"))
+    contexts = counted.groupBy("group", "order", "context").agg(F.sum("all").alias("all_c"), F.count(F.lit(1)).alias("kinds"))
+    model = counted.join(contexts.hint("merge"), ["group", "order", "context"])
+    met = places.join(model.hint("merge"), ["group", "order", "context", "token"]).repartition("id")
+    own_c = Window.partitionBy("id", "order", "context")
+    gram = Window.partitionBy("id", "order", "context", "token").orderBy("at")
+    met = met.withColumns({"own": F.count(F.lit(1)).over(gram.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "again": F.row_number().over(gram) - 1}).withColumn("own_c", F.count(F.lit(1)).over(own_c))
+    rest = F.col("all_c") - F.col("own_c")
+    p = F.when(rest > 0, (F.col("all") - F.col("own")) / rest)
+    one = F.col("order") == 1
+    scored = met.groupBy("id", "group", "at").agg(F.max(F.when(one, F.col("kinds"))).alias("v"), F.max(F.when(one, F.col("again"))).alias("again"), *[F.max(F.when(F.col("order") == o, p)).alias(f"p{o}") for o in orders])
     prob = 1.0 / F.col("v")
-    for order in range(1, t.ngram_order + 1):
+    for order in orders:
         own_p = F.col(f"p{order}")
         prob = F.when(own_p.isNull(), prob).otherwise(0.5 * own_p + 0.5 * prob)
-    seen = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    again = F.row_number().over(Window.partitionBy("id", "token").orderBy("at")) - 1
-    scored = scored.withColumns({"seen": F.least(seen, F.lit(t.ngram_cache)), "again": again})
-    global_share = t.ngram_gamma / (t.ngram_gamma + F.col("seen"))
-    cached = F.when(F.col("seen") > 0, F.col("again") / F.col("seen")).otherwise(0.0)
+    seen = F.least("at", F.lit(t.ngram_cache))
+    global_share = t.ngram_gamma / (t.ngram_gamma + seen)
+    cached = F.when(seen > 0, F.col("again") / seen).otherwise(0.0)
     mixed = F.greatest(global_share * prob + (1 - global_share) * cached, F.lit(1e-12))
     return scored.withColumn("bits", -F.log2(mixed)).groupBy("id", "group").agg(F.count(F.lit(1)).alias("tokens"), F.avg("bits").alias("entropy"))
 
 
+def unnatural(scores: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
+    """(id, group, entropy, z): functions whose entropy lies far above their group's.
+
+    z is by the median of the absolute deviations, or by their mean where that
+    median is zero; groups of fewer than natural_functions functions, or without
+    any spread, have none.
+    """
+    middle = scores.groupBy("group").agg(F.median("entropy").alias("mid"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= t.natural_functions)
+    off = scores.join(middle, "group").withColumn("off", F.col("entropy") - F.col("mid"))
+    spread = off.groupBy("group").agg(F.median(F.abs("off")).alias("mad"), F.avg(F.abs("off")).alias("mean"))
+    unit = F.when(F.col("mad") > 0, 0.6745 / F.col("mad")).when(F.col("mean") > 0, 0.7979 / F.col("mean"))
+    return off.join(spread, "group").withColumn("z", unit * F.col("off")).filter(F.col("z") > t.ngram_zscore).select("id", "group", "entropy", "z")
+
+
 def frequent_patterns(subtrees: DataFrame, t: Mining = DEFAULTS.mining) -> DataFrame:
     """(pattern, support, files): patterns of enough support that are closed: no single parent pattern always holds them. subtrees: pattern, parent (null at a root), place."""
     support = subtrees.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.count_distinct("place").alias("files")).filter(F.col("support") >= t.min_support)

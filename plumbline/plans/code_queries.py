@@ -125,7 +125,7 @@ def _methods(s, d):
 
 
 METHODS = """
-me AS (
+me AS MATERIALIZED (
   SELECT o_orderkey AS id, o_custkey AS custkey, c_mktsegment AS file, 'N' || c_nationkey AS class, c_nationkey AS nk, 'm' || o_orderkey % 97 AS name, o_orderkey % 5 + 1 AS cc, ['g' || o_orderkey % 40, 'g' || o_orderkey % 37] AS fields, o_orderkey % 50 = 0 AS is_ctor
   FROM orders JOIN customer ON o_custkey = c_custkey),
 foreign_use AS (SELECT id, file, class, CASE WHEN i % 4 = 3 THEN '?' ELSE 'N' || (nk + 1 + (i % 2) * (id % 3)) % 25 END AS recv, 'x' || i AS field FROM (SELECT *, unnest(range(0, id % 9 + 1)) AS i FROM me))"""

@@ -285,6 +285,26 @@ def naturalness(s, d):
     return T.naturalness(conv, replace(DEFAULTS.mining, ngram_order=3)).withColumn("entropy", F.round("entropy", 6))
 
 
+def _natural_sql(orders: int = 3, gamma: float = 1.0, cache: int = 5000, least: int = 20) -> str:
+    p = " , ".join(f"max(CASE WHEN o = {o} AND ac > oc THEN (a - own) / (ac - oc) END) AS p{o}" for o in range(1, orders + 1))
+    prob = "(1 / v)"
+    for o in range(1, orders + 1):
+        prob = f"(CASE WHEN p{o} IS NULL THEN {prob} ELSE 0.5 * p{o} + 0.5 * {prob} END)"
+    grams = " UNION ALL ".join(f"SELECT id, grp, i, {o} AS o, array_to_string(w[i - {o} + 2 : i], chr(1)) AS context, w[i + 1] AS token FROM f WHERE i >= {o} - 1" for o in range(1, orders + 1))
+    return f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, role AS grp, string_split(text, ' ') AS w FROM conversations),
+f AS (SELECT *, unnest(range(len(w))) AS i FROM t WHERE len(w) >= {least}),
+p AS ({grams}),
+v AS (SELECT grp, count(DISTINCT token) AS v FROM p GROUP BY grp),
+c AS (
+  SELECT *, count(*) OVER (PARTITION BY grp, o, context, token) AS a, count(*) OVER (PARTITION BY grp, o, context) AS ac,
+    count(*) OVER (PARTITION BY id, o, context, token) AS own, count(*) OVER (PARTITION BY id, o, context) AS oc, row_number() OVER (PARTITION BY id, o, context, token ORDER BY i) - 1 AS again FROM p),
+q AS (SELECT id, grp, i, max(CASE WHEN o = 1 THEN again END) AS again, {p} FROM c GROUP BY ALL),
+m AS (SELECT id, q.grp, least(i, {cache}) AS seen, again, {prob} AS prob FROM q JOIN v ON q.grp = v.grp),
+s AS (SELECT id, grp, {gamma} / ({gamma} + seen) AS share, prob, CASE WHEN seen > 0 THEN again / seen ELSE 0 END AS cached FROM m)
+SELECT id, grp AS "group", count(*) AS tokens, round(avg(-log2(greatest(share * prob + (1 - share) * cached, 1e-12))), 6) AS entropy FROM s GROUP BY ALL"""
+
+
 def frequent_patterns(s, d):
     p = table(s, d, "part").select(F.col("p_type").alias("pattern"), F.when(F.col("p_size") > 3, F.col("p_brand")).alias("parent"), (F.col("p_partkey") % 50).alias("place"))
     up = table(s, d, "part").select(F.col("p_brand").alias("pattern"), F.lit(None).cast("string").alias("parent"), (F.col("p_partkey") % 50).alias("place"))
@@ -339,7 +359,7 @@ QUERIES = {
     "identifier_words": (identifier_words, WORDS_SQL),
     "conceptual_cohesion": (conceptual_cohesion, COHESION_SQL),
     "ngram_counts": (ngram_counts, NGRAM_SQL),
-    "naturalness": (naturalness, None),
+    "naturalness": (naturalness, _natural_sql()),
     "frequent_patterns": (frequent_patterns, PATTERNS_SQL),
     "mdl_gain": (mdl_gain, MDL_SQL),
     "pattern_categories": (pattern_categories, CATEGORY_SQL),
