@@ -1,13 +1,21 @@
 """Removal of multi-line passages that repeat across a corpus, with DataFrame functions only.
 
-A text's lines are hashed. Hashes rolled over the line before and the line after
-a gap choose where a chunk ends: a gap is a boundary by what stands next to it
-and by nothing further away, so text that is put in or taken out elsewhere does
-not shift it. Each of several chunkings reads other bits of these hashes; a
-passage whose ends fall inside a chunk of one of them is met by another. A long
-line is always a chunk by itself. Chunks are counted globally by their hash; of
-a repeated chunk the first occurrence stays and the others go, if all of its
-occurrences are the same bytes.
+A text's lines are hashed, and a hash is rolled over every two neighbouring line
+hashes. In each of several chunkings it says whether a chunk begins with these
+two lines, and whether one ends with them: a chunk goes from a line where one
+begins to the next where one ends. Both ends are chosen by lines inside the
+chunk and by nothing outside it, so a passage is cut alike wherever it stands,
+whatever is put in or taken out beside it. A chunk has two lines at least, and
+2.3 in the mean; chunks overlap, so that most lines are the first line of one.
+A line of LONG_LINE characters is a chunk by itself.
+
+Where no chunking has a chunk of the least size (two lines and LEAST_CHARS
+characters) at a line, the shortest run of lines from there or up to there takes
+its place. So every repeated passage of that size goes whole; nine in ten of
+the shortest, and all longer ones but for an edge, go by the chunkings alone.
+
+Chunks are counted globally by their hash; of a repeated chunk the first
+occurrence stays and the others go, if they are the same bytes.
 """
 
 from __future__ import annotations
@@ -17,12 +25,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, shielded, sized, written
 
-CHUNKINGS = 6
+#: Chunkings, and lines of a chunk at most.
+CHUNKINGS, MOST_LINES = 4, 6
 #: A line of so many characters is a chunk; it takes about 50 words.
 LONG_LINE = 200
-#: Characters of a chunk of several lines.
-LEAST_CHARS = 60
-#: Broadcast are the hashes of repeated chunks (8 bytes each) and the line ranges to remove (about 100 bytes a document) up to so many rows; more are joined by shuffle.
+#: Characters of a chunk of several lines at least.
+LEAST_CHARS = 40
+#: Rows of hits and of repeated chunks (some 50 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -32,18 +41,34 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__lines": F.split(text, "\n", -1), "__key": F.xxhash64(text)}).withColumn("__hashes", F.transform("__lines", lambda x: F.xxhash64(x)))
 
 
+def _rolled() -> Column:
+    """For every two neighbouring lines the chunkings that begin a chunk with them (low bits) and that end one (next bits), each with a chance of three in four."""
+
+    def of(i: Column) -> Column:
+        before, after = F.get("__hashes", i), F.get("__hashes", i + 1)
+        rolled = F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(after)
+        return rolled.bitwiseOR(F.shiftrightunsigned(rolled, 32)).bitwiseAND(F.lit((1 << 2 * CHUNKINGS) - 1)).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.size("__hashes") - 2), of)
+
+
 def _runs() -> Column:
-    """(first, n) of the chunks of all chunkings, from __at: for each line the chunkings that begin a chunk there."""
+    """(first, n) of the chunks of all chunkings, from __rolled."""
+    every = F.lit((1 << CHUNKINGS) - 1)
 
-    def of(k: int) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size("__at") - 1), lambda i: F.get("__at", i).bitwiseAND(F.lit(1 << k)) != 0)
-        return F.zip_with(first, F.concat(F.slice(first, F.lit(2), F.size("__at")), F.array(F.size("__at"))), lambda a, b: F.struct(a.alias("first"), (b - a).alias("n")))
+    def of(i: Column) -> Column:
+        open_, found = F.get("__rolled", i).bitwiseAND(every), []
+        for d in range(MOST_LINES - 1):
+            ends = F.shiftrightunsigned(F.coalesce(F.get("__rolled", i + d), F.lit(0)), CHUNKINGS)
+            found.append(F.when(open_.bitwiseAND(ends) != 0, F.struct(i.alias("first"), F.lit(d + 2).alias("n"))))
+            open_ = open_.bitwiseAND(F.bitwise_not(ends))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
 
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(CHUNKINGS)])))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("__rolled") - 1), of))
 
 
 def _windows() -> Column:
-    """(first, n) from __lines: the long lines, and of LEAST_CHARS and two lines at least the shortest windows that end at a line or begin at one.
+    """(first, n) from __lines: of LEAST_CHARS and two lines at least the shortest windows that end at a line or begin at one.
 
     Whatever passage of so many lines and characters repeats, the windows inside it cover all its lines.
     """
@@ -59,77 +84,70 @@ def _windows() -> Column:
         tail = F.concat(F.slice(a["tail"], F.greatest(enough, F.lit(1)), F.size(a["tail"])), F.array(F.struct(e.alias("i"), a["c"].alias("c"))))
         return F.struct(end.alias("c"), tail.alias("tail"), (a["met"] | (enough > 0)).alias("met"), F.concat(a["out"], new).alias("out"))
 
-    at = F.sequence(F.lit(0), F.size("__lines") - 1)
-    long_ = F.transform(F.filter(at, lambda i: F.length(F.get("__lines", i)) >= LONG_LINE), lambda i: F.struct(i.alias("first"), F.lit(1).alias("n")))
-    return F.concat(long_, F.aggregate(at, start, step, lambda a: a["out"]))
-
+    return F.aggregate(F.sequence(F.lit(0), F.size("__lines") - 1), start, step, lambda a: a["out"])
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """__id, __key, __lines, first, n and chunk (hash) of every chunk, or with passages of every window, that may be removed."""
-    every = F.lit((1 << CHUNKINGS) - 1)
-    long_ = lambda i: F.length(F.get("__lines", i)) >= LONG_LINE
-
-    def begins(i: Column) -> Column:
-        before, after = F.get("__hashes", i - 1), F.shiftrightunsigned(F.get("__hashes", i), 32)
-        return F.when((i == 0) | long_(i) | long_(i - 1), every).otherwise(before.bitwiseOR(after).bitwiseAND(F.lit((1 << CHUNKINGS) - 1)).cast("int"))
 
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: bool = True) -> DataFrame:
+    """__id, __key, first, n and chunk (hash) of every chunk that may be removed; without edges only what the chunkings choose, and long lines."""
     rows = _lines(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").drop("__text").filter("__lines is not null")
-    if not passages:
-        rows = rows.withColumn("__at", F.transform(F.sequence(F.lit(0), F.size("__lines") - 1), begins))
-    rows = rows.select("__id", "__key", "__lines", "__hashes", F.explode(_windows() if passages else _runs()).alias("run"))
-    chars = F.aggregate(F.slice("__lines", F.col("run.first") + 1, F.col("run.n")), F.lit(0), lambda a, x: a + F.length(x))
-    if not passages:
-        rows = rows.filter((chars >= LONG_LINE) | (F.col("run.n") > 1) & (chars >= LEAST_CHARS))
-    hash_ = F.xxhash64(F.slice("__hashes", F.col("run.first") + 1, F.col("run.n")))
-    return rows.select("__id", "__key", "__lines", F.col("run.first").alias("first"), F.col("run.n").alias("n"), hash_.alias("chunk"))
+    at = F.sequence(F.lit(0), F.size("__lines") - 1)
+    long_ = F.transform(F.filter(at, lambda i: F.length(F.get("__lines", i)) >= LONG_LINE), lambda i: F.struct(i.alias("first"), F.lit(1).alias("n")))
+    none = F.array().cast("array<struct<first:int,n:int>>")
+    rows = rows.withColumn("__rolled", F.when(F.size("__lines") > 1, _rolled()))
+    several = F.when(F.size("__lines") > 1, F.array_distinct(F.concat(_runs(), _windows())) if edges else _runs()).otherwise(none)
+    rows = rows.select("__id", "__key", "__lines", "__hashes", F.explode(F.concat(long_, several)).alias("run"))
+    own = lambda c: F.slice(c, F.col("run.first") + 1, F.col("run.n"))
+    rows = rows.filter((F.col("run.n") == 1) | (F.aggregate(own("__lines"), F.lit(0), lambda a, x: a + F.length(x)) >= LEAST_CHARS))
+    return rows.select("__id", "__key", F.col("run.first").alias("first"), F.col("run.n").alias("n"), F.xxhash64(own("__hashes")).alias("chunk"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, passages: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, edges: bool = True) -> DataFrame:
     """docs with the repeated chunks cut out of the text, and removed_lines, the number of lines cut.
 
-    With passages, windows take the place of chunks: every passage of two lines
-    and LEAST_CHARS characters or more, and every long line, that stands in an
-    earlier place goes whole. A window that overlaps its own first occurrence stays.
+    Every passage of two lines and LEAST_CHARS characters or more, and every
+    long line, that stands in an earlier place goes whole (without edges: what
+    the chunkings find of it). A chunk that overlaps its own first occurrence
+    stays.
 
     The first occurrence, which stays, is that of the smallest id (null first),
     then of the smallest text hash and line. Rows that are equal in id and text
     count as one document and are treated alike. A null or empty text stays as
-    it is; a text of which every line goes becomes empty. Chunks whose hash
-    stands for different bytes are left alone. Other columns pass through; one
-    named removed_lines is replaced. An empty table gives an empty one.
+    it is; a text of which every line goes becomes empty. Chunks of one hash are
+    the same only if their bytes are. Other columns pass through; one named
+    removed_lines is replaced. An empty table gives an empty one.
     """
     names = docs.columns
     docs, new = shielded(docs)
     id_col, text_col = new[id_col], new[text_col]
-    rows = chunks(docs, id_col, text_col, passages)
+    rows = written(chunks(docs, id_col, text_col, edges), "chunks")
     place = F.struct("__id", "__key", "first")
     repeated = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter("times > 1")
     repeated = written(repeated.select("chunk", "kept"), "repeated")
-    few = repeated.count() <= broadcast_rows
-
-    def hits(columns: list[str], named: DataFrame) -> DataFrame:
-        if few:
-            return rows.join(F.broadcast(named), "chunk").select(*columns)
-        narrow = rows.drop("__lines").join(named.hint("merge"), "chunk")
-        if "bytes" not in "".join(columns) and "__lines" not in columns:
-            return narrow.select(*columns)
-        of = narrow.groupBy("__id", "__key").agg(F.collect_list(F.struct("chunk", "first", "n")).alias("of"))
-        texts = _lines(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")), "__t").select("__i", F.col("__key").alias("__k"), "__lines")
-        return of.join(texts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))).select("__lines", F.explode("of").alias("c")).select("__lines", "c.*").select(*columns)
+    hits = written(rows.join(sized(repeated.select("chunk"), broadcast_rows), "chunk"), "hits")
 
-    # byte comparison: equal bytes are one group, whatever their number, before anything is shuffled
-    own = hits(["chunk", "first", "n", "__lines"], repeated.select("chunk")).select("chunk", F.array_join(F.slice("__lines", F.col("first") + 1, F.col("n")), "\n").alias("bytes"))
-    unlike = own.groupBy("chunk", "bytes").agg(F.count(F.lit(1)).alias("times")).groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("chunk")
-    sure = written(repeated.join(unlike, "chunk", "left_anti"), "sure")
-
-    cut = hits(["__id", "__key", "first", "n", "kept"], sure).filter(~F.struct("__id", "__key", "first").eqNullSafe(F.col("kept")))
-    if passages:
-        cut = cut.filter(~(F.col("__id").eqNullSafe(F.col("kept.__id")) & (F.col("__key") == F.col("kept.__key")) & (F.col("first") < F.col("kept.first") + F.col("n"))))
-    cut = written(cut.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n")).alias("__cut")), "cut")
-    cut = cut.select(F.col("__id").alias("__cut_id"), F.col("__key").alias("__cut_key"), "__cut")
-    cut = sized(cut, broadcast_rows)
     text = F.col(text_col).cast("string")
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("__cut_id")) & (F.xxhash64(text) == F.col("__cut_key")), "left")
+
+    def met(per_text: DataFrame, how: str, few: bool) -> DataFrame:
+        per_text = per_text.withColumnsRenamed({"__id": "__of_id", "__key": "__of_key"})
+        return docs.join(F.broadcast(per_text) if few else per_text.hint("merge"), F.col(id_col).eqNullSafe(F.col("__of_id")) & (F.xxhash64(text) == F.col("__of_key")), how)
+
+    # byte comparison: equal bytes are one group, whatever their number, before anything is shuffled
+    of = hits.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n", "chunk")).alias("__of"))
+    own = met(of, "inner", hits.count() <= broadcast_rows).select(F.col("__of_id").alias("__id"), F.col("__of_key").alias("__key"), F.split(text, "\n", -1).alias("__lines"), F.explode("__of").alias("c")).select("__id", "__key", "c.*", "__lines")
+    own = own.withColumn("bytes", F.array_join(F.slice("__lines", F.col("first") + 1, F.col("n")), "\n")).drop("__lines")
+    kinds = own.groupBy("chunk", "bytes").agg(F.min(place).alias("kept"))
+    unlike = written(kinds.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("chunk"), "unlike")
+    sure = hits.join(sized(repeated, broadcast_rows), "chunk")
+    if not unlike.isEmpty():
+        # a hash of several texts: each of them has a first occurrence of its own
+        apart = own.join(sized(unlike, broadcast_rows), "chunk")
+        firsts = apart.groupBy("chunk", "bytes").agg(F.min(place).alias("kept"))
+        sure = sure.join(sized(unlike, broadcast_rows), "chunk", "left_anti").unionByName(apart.join(firsts, ["chunk", "bytes"]).drop("bytes"))
+
+    cut = sure.filter(~place.eqNullSafe(F.col("kept")))
+    cut = cut.filter(~(F.col("__id").eqNullSafe(F.col("kept.__id")) & (F.col("__key") == F.col("kept.__key")) & (F.col("first") < F.col("kept.first") + F.col("n"))))
+    cut = written(cut.select("__id", "__key", "first", "n").distinct(), "cut")
+    out = met(cut.groupBy("__id", "__key").agg(F.collect_list(F.struct("first", "n")).alias("__cut")), "left", cut.count() <= broadcast_rows)
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("__cut", lambda c: (i >= c["first"]) & (i < c["first"] + c["n"])))
     out = out.withColumn("__stays", F.when(F.col("__cut").isNotNull(), stays))
     removed = F.when(F.col("__stays").isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)) - F.size("__stays"))
@@ -138,4 +156,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), passages=True)
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))

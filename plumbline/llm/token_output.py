@@ -84,7 +84,9 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     """
     rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # by the task's number, which has more digits from task 100 000 on
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("base"))
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     n_files = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(files).getFileCount()
