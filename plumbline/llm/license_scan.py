@@ -28,6 +28,10 @@ def _n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_RAW_WORD)).cast("long")
 
 
+def _has(text: Column, keyword: str) -> Column:
+    return _any([F.contains(text, F.lit(w)) for w in keyword.split("|")])
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -49,7 +53,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wide = F.lower(raw)
     may_base = _any([reduce(lambda a, b: a & b, [F.contains(wide, F.lit(w)) for w in p]) for p, _ in PHRASES])
     # every notice's keyword alone may fire the form "named", so these decide whether a text has to be looked at
-    may_rule = _any([F.contains(wide, F.lit(w)) for w in sorted({r[5] for r in table})])
+    may_rule = _any([_has(wide, w) for w in sorted({r[5] for r in table})])
     df = docs.select(F.col(id_col).alias("__id"), _n_words(raw).alias("n_words"), F.when(may_base | may_rule, F.translate(raw, UPPER, LOWER)).alias("__low"))
 
     counts, firsts, lasts, labels = [], [], [], []
@@ -72,7 +76,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sort_array(F.array_compact(F.array(*labels))).alias("base_labels"),
     )
 
-    has = F.when(F.col("__low").isNotNull(), F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("__low", w)))
+    has = F.when(F.col("__low").isNotNull(), F.array(*[_has(F.col("__low"), w) for w in words]))
     df = df.withColumn("__has", has)
     listed = F.array(*[F.struct(F.lit(o).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.lit(at[f] if f else -1).alias("f"), F.lit(at[n]).alias("n"), F.lit(x).alias("pattern")) for o, p, label, c, f, n, x in table])
     tried = F.filter(listed, lambda r: F.get("__has", r["n"]) & ((r["f"] < 0) | F.get("__has", r["f"])))
