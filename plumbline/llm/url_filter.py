@@ -1,7 +1,8 @@
 """Allow or block web addresses: rules by host and path, and a classifier for all others.
 
 The classifier is a logistic regression on hashed character n-grams of host and
-path, trained on a small labelled table of addresses.
+path, trained on a small labelled table of addresses
+(BLOCK and ALLOW).
 """
 
 from __future__ import annotations
@@ -28,24 +29,211 @@ RULES = [
 #: Rules are an array in the plan; a table of more of them must be joined instead.
 MOST_RULES = 10_000
 
-SPACE, GRAMS, PASSES, STEP, DECAY = 1 << 16, (3, 4, 5), 200, 2.0, 1e-4
+SPACE, GRAMS, PASSES, STEP, DECAY = 1 << 16, (2, 3, 4, 5), 1000, 8.0, 1e-5
 
-#: The labelled table: addresses of a kind, by words for its hosts and paths.
-_BLOCK_HOSTS = "casino-bonus-777 free-slots-win poker-jackpot bet365-odds adult-cams-live xxx-tube hot-singles-dating cheap-pills-rx viagra-discount replica-watches loan-payday-fast crypto-doubler free-iphone-prize click-track-ads popunder-ads malware-update warez-crack torrent-keygen seo-backlinks-buy spam-mailer".split()
-_BLOCK_PATHS = "/win/jackpot?ref=aff /free-spins/bonus /xxx/videos/hot /buy-cheap-pills /casino/slots/play /track?click_id=99 /download/keygen.exe /login-verify-account /adult/cams /prize/claim-now".split()
-_ALLOW_HOSTS = "university library museum city-council science-journal daily-news weather-service open-data history-archive health-institute cooking-recipes gardening-club travel-guide music-school developer-docs encyclopedia school-district national-park public-radio book-reviews".split()
-_ALLOW_PATHS = "/articles/2021/spring /docs/guide/install /en/about /de/artikel/12 /fr/page/3 /es/noticias/45 /research/papers/index.html /recipes/bread.html /news/local/story /help/faq".split()
+#: The labelled table, written by hand: whole addresses to block and to allow; most names are invented, half of them under reserved ones.
+BLOCK = """
+http://www.lucky-casino-royal.example.com/en/bonus/welcome?aff=1182
+https://spin247.casino-palace.net/slots/free-spins
+http://online-casino-guide.example.org/en/best-bonus
+https://poker-stars-cash.org/de/432
+http://bet-and-win-big.example.com/odds/football/live
+https://m.betking365.net/live-betting
+http://blackjack-roulette.example.com/fr/play-now
+https://slots-vegas777.com/register?ref=banner
+http://bingo-jackpots.example.org/claim
+https://casino.gamble-zone.org/es/tragaperras
+http://cheap-pills-online.example.com/order/viagra
+https://rx-pharmacy-discount.net/no-prescription
+http://www.buy-cheap-meds.example.org/en/cialis-generic
+https://diet-pills-fast.net/lose-weight-now
+http://pills-without-doctor.example.org/tramadol
+https://cheap-meds24.com/de/2076
+http://miracle-weightloss.example.net/offer?id=7
+https://generic-viagra-store.com/fr/acheter
+http://male-enhance-pills.example.org/fr/try-free
+https://steroids-shop-eu.net/buy
+http://adult-videos-hd.example.com/watch/hot
+https://www.xxx-tube-free.net/es/2898
+http://adult.dating-hot.example.org/singles-near-you
+https://live-sex-cams.org/room/4471
+http://xxx-movies-clips.org/videos/free
+https://sexy-cams.net/hot/live
+http://hot-xxx-girls.example.com/en/video
+http://nude-pics-gallery.example.com/en/page/12
+https://adult-chat-rooms.com/join
+http://escorts-in-town.example.net/profiles
+https://porn-stream.org/de/3720
+http://milf-dates.example.com/signup
+https://adultshop-toys.org/sale
+http://spam-mailer-pro.example.com/fr/bulk/send
+https://seo-link-farm.net/buy-backlinks
+http://www.link-farm-directory.example.org/submit-url-free
+https://spamfarm.com/es/4542
+http://spam-comments-bot.example.net/download
+https://content-farm-articles.net/rewrite/spin
+http://autoblog-farm.example.com/en/tag/cheap-insurance
+https://buy-followers-fast.com/instagram/10000
+http://bulk-email-list.example.org/2-million-addresses
+https://article-spinner-seo.com/de/5364
+http://free-iphone-winner.example.com/claim-prize?u=88
+https://you-won-giftcard.net/survey/start
+http://prize-center-claim.example.com/fr/congratulations
+https://win-a-car-today.net/enter
+http://paypa1-secure-login.example.com/verify/account
+https://appleid.verify-account-support.net/es/6186
+http://bank0famerica-alert.example.org/update-password
+https://secure-login-netflix.org/billing/confirm
+http://account-suspended-help.example.com/en/unlock
+https://dhl-parcel-fee.net/pay?track=55012
+http://wallet-connect-airdrop.example.net/claim
+https://bitcoin-doubler-x2.com/de/7008
+http://crypto-millionaire-robot.example.org/start-trading
+https://forex-signals-profit.org/join-vip
+http://earn-money-from-home.example.com/fr/500-a-day
+https://payday-loans-instant.com/apply/bad-credit
+http://debt-gone-now.example.net/quick-loan
+https://fast-cash-advance.org/es/7830
+http://replica-watches-luxury.example.com/rolex
+https://cheap-handbags-outlet.net/louis-sale
+http://fake-diploma-service.example.org/en/order
+https://essay-writers-cheap.net/buy-essay
+http://cracked-software-keys.example.com/keygen/download
+https://warez-full-version.net/de/8652
+http://serial-number-free.example.org/activate
+https://torrent-movies-hd.org/download/new
+http://free-download-codec.example.com/fr/setup.exe
+https://flash-player-update.net/install.exe
+http://pc-cleaner-virus-alert.example.com/scan
+https://your-computer-infected.org/es/9474
+http://driver-update-tool.example.net/get?src=popup
+https://click-track-ads.com/redirect?to=offer
+http://popunder-network.example.net/en/serve/ad?z=912
+https://adserver-banners.org/impression?id=3
+http://toolbar-install-free.example.com/thanks
+https://proxy-unblock-sites.net/de/10296
+http://hack-facebook-password.example.com/tool
+https://game-cheats-generator.org/free-gems
+http://vbucks-generator-free.example.net/fr/human-verification
+https://horoscope-love-spell.net/psychic-reading
+http://miracle-cure-doctors-hate.example.com/secret
+https://timeshare-exit-now.org/es/11118
+http://cheap-cigarettes-online.example.net/cart
+https://vape-discount-sale.org/deal
+http://mega-lottery-results.example.com/en/winning-numbers
+https://sweepstakes-daily.com/enter-now
+http://hot-russian-brides.example.net/catalog
+https://webcam-girls-live.org/de/11940
+http://domain-parking-ads.example.com/search?q=loans
+https://xn--oogle-wmc.com/login
+""".split()
+ALLOW = """
+https://www.uni-tuebingen.de/en/faculties/medicine
+http://library.edu/catalog/1831
+https://museum-of-nature.org/exhibitions/fossils
+http://www.cityhall.gov/permits/parking
+https://journal.science-letters.org/articles/2021/04
+http://news.dailyherald.co.uk/2019/05/12/local
+https://weather.example.com/forecast/10-days
+http://opendata.org/datasets/rivers.csv
+https://archive.example.net/texts/1887/letters
+http://health.gov/vaccines/schedule
+https://cooking.example.com/recipes/lentil-soup
+http://gardenersforum.net/threads/tomatoes.4412
+https://travel.example.org/guides/lisbon
+http://musicschool.com/lessons/violin
+https://docs.example.dev/guide/install
+http://encyclopedia.org/wiki/Photosynthesis
+https://district12.k12.example.us/calendar
+http://nationalpark.gov/trails/map
+https://radio.example.fm/program/evening
+http://bookreviews.com/novels/2020
+https://m.rathaus-neustadt.de/de/buergerservice
+http://www.bibliotheque-lyon.fr/fr/collections
+https://ayuntamiento.example.es/es/tramites
+http://gazette.fr/fr/article/8831
+https://blog.marthasgarden.com/2018/07/roses
+http://mathforum.org/questions/771
+https://code.example.io/project/issues/54
+http://lists.net/archive/2004-March
+https://shop.woolandyarn.com/en/products/needles
+http://www.bakery-anders.de/de/brot
+https://theatre.example.org/season/tickets
+http://hospital.org/departments/radiology
+https://birdwatchers.example.net/sightings/heron
+http://history.edu/courses/medieval
+https://railway.example.com/timetable/north
+http://chess.org/openings/sicilian
+https://astro.example.edu/telescope/images
+http://farmersmarket.com/vendors
+https://poetry.example.net/authors/rilke
+http://genealogy.org/families/hansen
+https://www.thornfield-hotel.com/en/rooms
+http://statistics.gov/tables/population
+https://linguistics.example.edu/papers/vowels.pdf
+http://sailing-club.org/regatta
+http://film-archive.org/videos/1931
+https://volcano-cams.net/live
+http://school-girls-choir.example.com/en/video
+https://climbing.example.net/routes/alps
+http://insurance.com/en/contact
+https://parliament.example.gov/debates/441
+http://court.gov/decisions/2016
+https://film.example.org/festival/program
+http://orchestra.com/concerts
+https://rentheran.example.com/en/412
+http://ingthere.net/de/77
+https://m.ouenleau.example.org/fr/903
+http://www.derschein.com/de/120
+https://losquenca.example.net/es/31
+http://ndthwhere.org/en/6
+https://tionsthe.example.com/en/558
+http://quelaio.net/fr/249
+https://unterge.example.org/de/815
+http://cionesta.com/es/640
+https://theredin.example.net/en/19#top
+http://eauxpar.org/fr/372?page=2
+https://www.houreng.example.com/en/94?ref=x
+http://m.schewald.net/de/506
+https://adoraquel.example.org/es/288
+http://erthandst.com/fr/61
+https://standwhen.example.net/en/740
+http://mentoure.org/fr/155
+https://ichunder.example.com/de/999
+http://delcasan.net/es/420
+https://software.example.com/download/release-notes
+http://en.example.org/about/staff
+https://physics.example.edu/people/faculty
+http://www.example.org/index.html
+https://example.com/en/help/faq
+http://example.net/contact
+https://blog.example.com/posts/42
+http://support.net/articles/reset-password
+https://accounts.example.org/help/two-factor
+http://bank.com/branches/oslo
+https://pharmacy-school.example.edu/admissions
+http://adult-education.org/courses/spanish
+https://farm.example.com/visit/apples
+http://dairyfarm-museum.org/history
+https://games.example.org/rules/bridge
+http://crypto-lectures.edu/notes/rsa
+https://lottery-history.example.org/essay
+http://loans.library.org/renew
+https://watchmakers.example.net/repairs
+http://traffic.gov/road-works
+""".split()
+
+
+def _split(address: str) -> tuple[str, str]:
+    """Host and path of an address of the table, as `parts` has them."""
+    rest = address.partition("://")[2].partition("#")[0].partition("?")[0]
+    host, slash, path = rest.partition("/")
+    return host.lower(), slash + path
 
 
 def labelled_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block or 0 to allow): every host of a kind with three of its paths."""
-    out = []
-    for hosts, paths, label in ((_BLOCK_HOSTS, _BLOCK_PATHS, 1), (_ALLOW_HOSTS, _ALLOW_PATHS, 0)):
-        for i, name in enumerate(hosts):
-            for j in range(3):
-                top = ("com", "net", "org", "example.com", "example.org")[(i + j) % 5]
-                out.append((f"{('www.', 'm.', '', 'blog.')[(i + j) % 4]}{name}.{top}", paths[(i + 3 * j) % len(paths)], label))
-    return out
+    """(host, path, 1 to block or 0 to allow)."""
+    return [(*_split(x), label) for own, label in ((BLOCK, 1), (ALLOW, 0)) for x in own]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
