@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ FEATURED = 8_192
 BLOCK = 64
 
 UNKNOWN = "und"
+#: Mean marginal under which a text has no language; of two languages in equal parts one has half.
+LEAST_SCORE = 0.4
 
 _MARKS = string.punctuation + "“”„«»‘’…–—¿¡"
 
@@ -305,16 +308,24 @@ def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def of_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose text the model can give a language to; all columns stay as they are. Null texts and texts without a letter go."""
+def of_known_language(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose text has a language: the model's score for it is least_score at least. All columns stay; a null language is filled with the model's.
+
+    Null texts and texts without a letter go, and so do texts whose words the
+    model takes for no one language: of none that was learned, or of many.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), docs.schema
+    fill = docs.columns.index(lang_col) if lang_col in docs.columns and dict(docs.dtypes)[lang_col] == "string" else -1
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            langs, _, _ = label_texts(shared.value, batch.column(at).to_pylist(), scorer)
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            langs, scores, _ = label_texts(shared.value, batch.column(at).to_pylist(), scorer)
+            if fill >= 0:
+                known = pc.coalesce(batch.column(fill), pa.array(langs, batch.schema.field(fill).type))
+                batch = pa.RecordBatch.from_arrays([known if k == fill else c for k, c in enumerate(batch.columns)], batch.schema.names)
+            yield batch.filter(pa.array([x != UNKNOWN and y >= least_score for x, y in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, schema)
