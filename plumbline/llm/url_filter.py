@@ -102,6 +102,8 @@ http://cracked-software-keys.example.com/keygen/download
 https://warez-full-version.net/de/8652
 http://serial-number-free.example.org/activate
 https://torrent-movies-hd.org/download/new
+http://xxx-rated-downloads.com/hot
+https://cam-girls-xxx.org/hot/videos
 http://free-download-codec.example.com/fr/setup.exe
 https://flash-player-update.net/install.exe
 http://pc-cleaner-virus-alert.example.com/scan
@@ -180,6 +182,8 @@ http://insurance.com/en/contact
 https://parliament.example.gov/debates/441
 http://court.gov/decisions/2016
 https://film.example.org/festival/program
+http://rated-restaurants.com/lisbon
+https://girls-football-club.org/videos
 http://orchestra.com/concerts
 https://rentheran.example.com/en/412
 http://ingthere.net/de/77
