@@ -26,14 +26,26 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+#: Directories of tests, what a test's name holds, and the beginnings and whole stems that are a language's habit.
+TEST_DIRS = ["tests", "test", "__tests__", "spec", "specs", "Tests", "Test", "Spec", "Specs"]
+TEST_INFIXES = ["_test.", ".test.", "_tests.", ".tests.", "_spec.", ".spec.", "_specs.", ".specs.", ".e2e.", ".cy."]
+TEST_STEMS = {"python": r"^(test_.*|tests|conftest)$", "c": "^[tT]est_", "cpp": "^[tT]est_", "r": "^test[-_]", "lua": "^(test|spec)_", "zig": "^test_", "d": "^test_"}
+#: Languages whose test classes end in Test, Tests, Spec or Specs.
+TEST_SUFFIXED = ["java", "csharp", "kotlin", "swift", "php", "objectivec", "groovy", "haskell"]
+
+
 def is_test(path: Column) -> Column:
-    """Whether a path is a test's by its directory, an infix of its name, or its language's habit."""
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
-    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
-    in_dir = path.rlike(r"(^|/)(tests?|__tests__|spec|specs|testing|fixtures)/")
-    infix = name.rlike(r"\.(test|spec)\.")
-    habit = stem.rlike(r"^test_|_test$|_spec$") | (path.rlike(r"\.(java|kt|cs|swift|groovy|php)$") & stem.rlike(r"(Test|Tests|Spec|IT)$"))
-    return in_dir | infix | habit
+    """Whether a path is a test's by its directory, an infix of its name, or its language's habit. Backslashes separate like slashes."""
+    path = F.translate(path, "\\", "/")
+    name, lang = F.regexp_extract(path, r"([^/]*)$", 1), language(path)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    in_dir = path.rlike("(^|/)(" + "|".join(TEST_DIRS) + ")/")
+    infix = name.rlike("|".join(map(re.escape, TEST_INFIXES)))
+    habit = F.lit(False)
+    for one, pattern in TEST_STEMS.items():
+        habit = habit | (lang == one) & stem.rlike(pattern)
+    suffixed = lang.isin(TEST_SUFFIXED) & stem.rlike(r"(^|[\p{L}\p{N}])(Tests?|Specs?)$")
+    return in_dir | infix | F.coalesce(habit | suffixed, F.lit(False))
 
 
 def is_fixture(path: Column) -> Column:

@@ -66,11 +66,23 @@ def constraint_smells(declared: DataFrame, locked: DataFrame, has_lock: bool) ->
 
 
 def freshness(locked: DataFrame, versions: DataFrame, now: str, t: Mining = DEFAULTS.mining) -> DataFrame:
-    """Dependencies that missed many versions or whose last one is years old. versions: name, version, published (RFC 3339 text, which compares by its letters)."""
-    mine = locked.join(versions, ["name", "version"]).select("name", "version", F.col("published").alias("since"))
-    later = mine.join(versions.select("name", F.col("published").alias("p")), "name").groupBy("name", "version").agg(F.count_if(F.col("p") > F.col("since")).alias("missed"), F.max("p").alias("latest"))
-    years = F.lit(int(now[:4])) - F.substring("latest", 1, 4).cast("int")
-    out = later.withColumn("years", years).filter((F.col("missed") >= t.freshness_missed) | (F.col("years") >= t.freshness_years))
+    """Dependencies that missed many versions or whose last one is years old.
+
+    versions: name, version, published (RFC 3339 text, which compares by its
+    letters; empty: not known, neither missed nor the last) and perhaps
+    is_default, which tells the last version (the youngest, if of several). A
+    dependency of no known last version is left out.
+    """
+    default = F.col("is_default") if "is_default" in versions.columns else F.lit(False)
+    dated = F.when(F.col("published") != "", F.col("published"))
+    known = versions.select("name", "version", dated.alias("p"), default.alias("d"), "published")
+    mine = locked.join(known, ["name", "version"]).select("name", "version", F.col("p").alias("since"))
+    # one row a package and date before it meets the locked versions
+    dates = known.groupBy("name", "p").agg(F.count(F.lit(1)).alias("n"))
+    last = known.groupBy("name").agg(F.coalesce(F.max(F.when(F.col("d"), F.col("published"))), F.max("p")).alias("latest")).filter("latest is not null")
+    later = mine.join(dates, "name").groupBy("name", "version").agg(F.sum(F.when(F.col("p") > F.col("since"), F.col("n")).otherwise(0)).alias("missed")).join(last, "name")
+    years = F.lit(int(now[:4])) - F.substring("latest", 1, 4).try_cast("int")
+    out = later.withColumn("years", years).filter((F.col("missed") >= t.freshness_missed) | (F.col("years") >= t.freshness_years)).select("name", "version", "missed", "latest", "years")
     return out.orderBy(F.desc("missed"), "name").limit(t.freshness_top)
 
 
@@ -81,10 +93,13 @@ def vulnerable(locked: DataFrame, advisories: DataFrame, imports: DataFrame) ->
     return out.select("name", "version", "advisory", F.coalesce("__used", F.lit(False)).alias("reachable"))
 
 
-def cross_validated(findings: DataFrame, changed: DataFrame) -> DataFrame:
-    """Confidence of findings after history: high (4) if the file's changes scatter too, else low (2) at most."""
+def cross_validated(findings: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """Confidence of findings after history: medium (3) becomes high (4) if the file's changes scatter too, and what is lower stays; other files have low (2) at most. Without a history (null) nothing changes."""
+    if changed is None:
+        return findings
     seen = changed.select("file").distinct().withColumn("__seen", F.lit(True))
-    out = findings.join(seen, "file", "left").withColumn("confidence", F.when(F.col("__seen"), 4).otherwise(F.least("confidence", F.lit(2))))
+    raised = F.when(F.col("confidence") >= 3, 4).otherwise(F.col("confidence"))
+    out = findings.join(seen, "file", "left").withColumn("confidence", F.when(F.col("__seen"), raised).otherwise(F.least("confidence", F.lit(2))))
     return out.drop("__seen")
 
 

@@ -144,7 +144,8 @@ def cycle_shape(n: int, pairs: set[tuple]) -> str:
     return "Circle" if m <= n + n // 4 else "Chain"
 
 
-SHAPE_WEIGHT = {"Tiny": 1.0, "Circle": 1.0, "Star": 2.0, "Chain": 1.5, "Clique": 3.0}
+#: How much a shape weighs in a cycle's severity.
+SHAPE_WEIGHT = {"Clique": 1.0, "Star": 0.7, "Chain": 0.5, "Tiny": 0.4, "Circle": 0.3}
 
 
 def cycles(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
@@ -152,10 +153,13 @@ def cycles(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     spark = edges.sparkSession
     pairs = sorted(set(_collected(edges)))
     rank = {r["node"]: r["rank"] for r in ranks.collect()} if ranks is not None else {}
-    rows = []
-    for own in strong_components(pairs):
-        members = set(own)
-        inner = {(a, b) for a, b in pairs if a in members and b in members and a != b}
+    rows, found = [], strong_components(pairs)
+    of = {x: k for k, own in enumerate(found) for x in own}
+    inside: list[set] = [set() for _ in found]
+    for a, b in pairs:
+        if a != b and a in of and of[a] == of.get(b):
+            inside[of[a]].add((a, b))
+    for own, inner in zip(found, inside):
         shape = cycle_shape(len(own), inner)
         cut = min(inner, key=lambda e: (rank.get(e[0], 0.0) + rank.get(e[1], 0.0), e), default=(own[0], own[0]))
         rows.append((own[0], len(own), len(inner), shape, SHAPE_WEIGHT[shape] * max((rank.get(x, 0.0) for x in own), default=0.0) * len(own), cut[0], cut[1]))

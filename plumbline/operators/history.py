@@ -158,11 +158,13 @@ def diffusion_entropy(changes: DataFrame, keys: list[str], amount: str) -> DataF
 
 
 def cycle_trend(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(cycle, trend): new cycles and grown ones. before, now: cycle (id), member."""
+    """(cycle, size, trend, previous): catalysts, cycles that share no member with an earlier one, and decay, cycles that hold a smaller earlier one whole; previous is the size of the largest of these. before, now: cycle (id), member."""
+    now, before = now.select("cycle", "member").distinct(), before.select(F.col("cycle").alias("old"), "member").distinct()
     sizes = now.groupBy("cycle").agg(F.count(F.lit(1)).alias("size"))
-    old = before.groupBy("cycle").agg(F.count(F.lit(1)).alias("old_size")).withColumnRenamed("cycle", "old")
-    shared = now.join(before.withColumnRenamed("cycle", "old"), "member").groupBy("cycle", "old").agg(F.count(F.lit(1)).alias("common")).join(old, "old")
-    met = shared.groupBy("cycle").agg(F.max((F.col("common") == F.col("old_size")).cast("int")).alias("covers"), F.max("old_size").alias("old_size"))
+    old = before.groupBy("old").agg(F.count(F.lit(1)).alias("old_size"))
+    shared = now.join(before, "member").groupBy("cycle", "old").agg(F.count(F.lit(1)).alias("common")).join(old, "old").join(sizes, "cycle")
+    held = (F.col("common") == F.col("old_size")) & (F.col("old_size") < F.col("size"))
+    met = shared.groupBy("cycle").agg(F.max(F.when(held, F.col("old_size"))).alias("previous"), F.lit(True).alias("met"))
     out = sizes.join(met, "cycle", "left")
-    trend = F.when(F.col("covers").isNull(), "catalyst").when((F.col("covers") == 1) & (F.col("size") > F.col("old_size")), "decay")
-    return out.select("cycle", "size", trend.alias("trend")).filter("trend is not null")
+    trend = F.when(F.col("met").isNull(), "catalyst").when(F.col("previous").isNotNull(), "decay")
+    return out.select("cycle", "size", trend.alias("trend"), "previous").filter("trend is not null")

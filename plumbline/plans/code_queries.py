@@ -353,7 +353,7 @@ UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'pin_differs_from_lock' FROM part W
 
 
 def _versions(s, d):
-    return table(s, d, "orders").select((F.col("o_custkey") % 300).cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("version"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"))
+    return table(s, d, "orders").select((F.col("o_custkey") % 300).cast("string").alias("name"), F.col("o_orderkey").cast("string").alias("version"), F.when(F.col("o_orderkey") % 11 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("").alias("published"), (F.col("o_orderkey") % 13 == 5).alias("is_default"))
 
 
 def dependency_freshness(s, d):
@@ -362,11 +362,13 @@ def dependency_freshness(s, d):
 
 
 FRESH_SQL = """
-WITH v AS (SELECT CAST(o_custkey % 300 AS VARCHAR) AS name, CAST(o_orderkey AS VARCHAR) AS version, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published FROM orders),
+WITH v AS (SELECT CAST(o_custkey % 300 AS VARCHAR) AS name, CAST(o_orderkey AS VARCHAR) AS version, CASE WHEN o_orderkey % 11 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS published, o_orderkey % 13 = 5 AS is_default FROM orders),
 l AS (SELECT name, min(version) AS version FROM v GROUP BY name),
 m AS (SELECT l.name, l.version, v.published AS since FROM l JOIN v ON l.name = v.name AND l.version = v.version),
-x AS (SELECT m.name, m.version, count(*) FILTER (v.published > since) AS missed, max(v.published) AS latest FROM m JOIN v ON m.name = v.name GROUP BY ALL)
-SELECT name, version, missed, latest, 1999 - CAST(latest[1:4] AS INT) AS years FROM x WHERE missed >= 5 OR 1999 - CAST(latest[1:4] AS INT) >= 2 ORDER BY missed DESC, name LIMIT 30"""
+y AS (SELECT name, coalesce(max(published) FILTER (is_default), max(published) FILTER (published <> '')) AS latest FROM v GROUP BY name),
+x AS (SELECT m.name, m.version, count(*) FILTER (v.published <> '' AND since <> '' AND v.published > since) AS missed FROM m JOIN v ON m.name = v.name GROUP BY ALL),
+z AS (SELECT x.*, latest, 1999 - TRY_CAST(latest[1:4] AS INT) AS years FROM x JOIN y ON x.name = y.name WHERE latest IS NOT NULL)
+SELECT name, version, missed, latest, years FROM z WHERE missed >= 5 OR years >= 2 ORDER BY missed DESC, name LIMIT 30"""
 
 
 def vulnerable_dependencies(s, d):
@@ -380,7 +382,7 @@ VULNERABLE_SQL = "SELECT CAST(o_custkey % 300 AS VARCHAR) AS name, CAST(o_orderk
 
 def cross_validation(s, d):
     f = table(s, d, "part").select(F.col("p_brand").alias("file"), "p_partkey", (F.col("p_size") % 5).alias("confidence"))
-    return D.cross_validated(f, table(s, d, "part").filter("p_size = 9").select(F.col("p_brand").alias("file")))
+    return D.cross_validated(f, table(s, d, "part").filter("p_size = 9 and p_partkey % 3 = 0").select(F.col("p_brand").alias("file")))
 
 
 def suppression(s, d):
@@ -400,7 +402,31 @@ IGNORED_SQL = r"""
 WITH p AS (SELECT page_id, string_split(url, '/')[3] || '/' || regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path FROM pages)
 SELECT page_id, regexp_matches(path, '^[^/]*\.com/en(?:/.*)?$') OR regexp_matches(path, '^(?:.*/)?7[^/]*(?:/.*)?$') AS ignored FROM p"""
 
+NAMES = ["test_a.py", "tests.py", "conftest.py", "contest.py", "a_test.go", "b.spec.ts", "UserTest.java", "Latest.java", "Test_x.c", "test-y.R", "spec_z.lua", "run_Tests.cs", "q.e2e.js", "IT.java", "test_k.rs", "m_specs.rb", "OtherSpecs.kt", "plain.tcl"]
+
+
+def test_paths(s, d):
+    """Paths of pages with names of many habits."""
+    names = F.array(*[F.lit(x) for x in NAMES])
+    path = F.concat(F.regexp_replace("url", r"^[a-z]+://[^/]*/", ""), F.when(F.col("page_id") % 17 == 3, "/Tests/").when(F.col("page_id") % 17 == 5, "/contests/").when(F.col("page_id") % 17 == 9, "\\spec\\").otherwise("/"), F.get(names, (F.col("page_id") % len(NAMES)).cast("int")))
+    return table(s, d, "pages").select("page_id", path.alias("path"), P.is_test(path).alias("is_test"))
+
+
+TEST_SQL = f"""
+WITH p AS (
+  SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') || CASE page_id % 17 WHEN 3 THEN '/Tests/' WHEN 5 THEN '/contests/' WHEN 9 THEN '\\spec\\' ELSE '/' END || {NAMES}[page_id % {len(NAMES)} + 1] AS path FROM pages),
+n AS (SELECT *, replace(path, '\\', '/') AS q FROM p),
+k AS (SELECT *, string_split(q, '/')[-1] AS name FROM n),
+m AS (SELECT *, string_split(name, '.')[-1] AS ext, regexp_replace(name, '[.][^.]*$', '') AS stem FROM k)
+SELECT page_id, path,
+  len(list_intersect(string_split(q, '/')[:-2], ['tests', 'test', '__tests__', 'spec', 'specs', 'Tests', 'Test', 'Spec', 'Specs'])) > 0
+  OR len(list_filter(['_test.', '.test.', '_tests.', '.tests.', '_spec.', '.spec.', '_specs.', '.specs.', '.e2e.', '.cy.'], lambda x: contains(name, x))) > 0
+  OR ext = 'py' AND (starts_with(stem, 'test_') OR stem IN ('tests', 'conftest')) OR ext = 'c' AND lower(stem[1:1]) || stem[2:5] = 'test_' OR ext = 'R' AND stem[1:5] IN ('test-', 'test_') OR ext = 'lua' AND stem[1:5] IN ('test_', 'spec_')
+  OR ext IN ('java', 'cs', 'kt') AND regexp_matches(stem, '(^|[A-Za-z0-9])(Tests|Test|Specs|Spec)$') AS is_test
+FROM m"""
+
 QUERIES = {
+    "test_paths": (test_paths, TEST_SQL),
     "function_smells": (function_smells, f"WITH {FINDINGS} SELECT * FROM findings"),
     "subsumed_smells": (subsumed_smells, SUBSUMED_SQL),
     "edit_range_smells": (edit_range_smells, EDIT_SQL),
@@ -426,7 +452,7 @@ QUERIES = {
     "constraint_smells": (constraint_smells, CONSTRAINT_SQL),
     "dependency_freshness": (dependency_freshness, FRESH_SQL),
     "vulnerable_dependencies": (vulnerable_dependencies, VULNERABLE_SQL),
-    "cross_validation": (cross_validation, "SELECT p_brand AS file, p_partkey, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size = 9) THEN 4 ELSE least(p_size % 5, 2) END AS confidence FROM part"),
+    "cross_validation": (cross_validation, "SELECT p_brand AS file, p_partkey, CASE WHEN p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 9 AND p_partkey % 3 = 0) THEN least(p_size % 5, 2) WHEN p_size % 5 >= 3 THEN 4 ELSE p_size % 5 END AS confidence FROM part"),
     "suppression": (suppression, SUPPRESSION_SQL),
     "ignored_paths": (ignored_paths, IGNORED_SQL),
 }

@@ -39,16 +39,20 @@ def pagerank(s, d):
     return G.pagerank(nation_edges(s, d), iterations=STEPS).select("node", F.round("rank", 8).alias("rank"))
 
 
-def _pagerank_sql() -> str:
+def _rank_steps() -> str:
     steps = [
-        f"WITH {NATION_EDGES}, links AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), out AS (SELECT src, count(*) AS o FROM links GROUP BY src)",
+        "links AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), out AS (SELECT src, count(*) AS o FROM links GROUP BY src)",
         "r0 AS (SELECT node, 1 / n AS rank FROM nodes, n)",
     ]
     for k in range(1, STEPS + 1):
         steps.append(f"d{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE node NOT IN (SELECT src FROM out))")
         steps.append(f"g{k} AS (SELECT dst, sum(rank / o) AS got FROM links JOIN r{k - 1} ON src = node JOIN out USING (src) GROUP BY dst)")
         steps.append(f"r{k} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN g{k} ON node = dst, n, d{k})")
-    return ", ".join(steps) + f" SELECT node, round(rank, 8) AS rank FROM r{STEPS}"
+    return ", ".join(steps)
+
+
+def _pagerank_sql() -> str:
+    return f"WITH {NATION_EDGES}, {_rank_steps()} SELECT node, round(rank, 8) AS rank FROM r{STEPS}"
 
 
 def transitive_imports(s, d):
@@ -59,20 +63,29 @@ REACH = f"WITH RECURSIVE {NATION_EDGES}, reach AS (SELECT src, dst FROM edges UN
 
 
 def import_cycles(s, d):
-    return G.cycles(nation_edges(s, d)).select("cycle", "size", "edges", "shape")
+    ranks = G.pagerank(nation_edges(s, d), iterations=STEPS).withColumn("rank", F.round("rank", 8))
+    return G.cycles(nation_edges(s, d), ranks).withColumn("severity", F.round("severity", 6))
 
 
 CYCLES_SQL = (
     REACH
+    + ", "
+    + _rank_steps()
     + """,
 mutual AS (SELECT a.src AS node, min(a.dst) AS cycle FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
 sizes AS (SELECT cycle, count(*) AS n FROM mutual GROUP BY cycle),
 inner_edges AS (SELECT m.cycle, e.src, e.dst FROM edges e JOIN mutual m ON e.src = m.node JOIN mutual k ON e.dst = k.node AND k.cycle = m.cycle WHERE e.src <> e.dst),
 counts AS (SELECT cycle, count(*) AS m FROM inner_edges GROUP BY cycle),
-deg AS (SELECT cycle, max(d) AS d FROM (SELECT cycle, x, count(*) AS d FROM (SELECT cycle, src AS x FROM inner_edges UNION ALL SELECT cycle, dst FROM inner_edges) GROUP BY ALL) GROUP BY cycle)
+deg AS (SELECT cycle, max(d) AS d FROM (SELECT cycle, x, count(*) AS d FROM (SELECT cycle, src AS x FROM inner_edges UNION ALL SELECT cycle, dst FROM inner_edges) GROUP BY ALL) GROUP BY cycle),
+shaped AS (
 SELECT s.cycle, CAST(n AS INT) AS size, CAST(m AS INT) AS edges,
   CASE WHEN n <= 2 THEN 'Tiny' WHEN m / (n * (n - 1)) >= 0.75 THEN 'Clique' WHEN d / (2 * m) >= 0.4 THEN 'Star' WHEN m <= n + n // 4 THEN 'Circle' ELSE 'Chain' END AS shape
-FROM sizes s JOIN counts c ON s.cycle = c.cycle JOIN deg g ON s.cycle = g.cycle"""
+FROM sizes s JOIN counts c ON s.cycle = c.cycle JOIN deg g ON s.cycle = g.cycle),
+ranks AS (SELECT node, round(rank, 8) AS r FROM r8),
+most AS (SELECT cycle, max(r) AS r FROM mutual JOIN ranks ON mutual.node = ranks.node GROUP BY cycle),
+cuts AS (SELECT i.cycle, i.src, i.dst, row_number() OVER (PARTITION BY i.cycle ORDER BY a.r + b.r, i.src, i.dst) AS k FROM inner_edges i JOIN ranks a ON i.src = a.node JOIN ranks b ON i.dst = b.node)
+SELECT x.cycle AS cycle, size, edges, shape, round(CASE shape WHEN 'Clique' THEN 1.0 WHEN 'Star' THEN 0.7 WHEN 'Chain' THEN 0.5 WHEN 'Tiny' THEN 0.4 ELSE 0.3 END::DOUBLE * r * size, 6) AS severity, src AS cut_src, dst AS cut_dst
+FROM shaped x JOIN most ON x.cycle = most.cycle JOIN cuts ON x.cycle = cuts.cycle AND k = 1"""
 )
 
 

@@ -189,7 +189,24 @@ WITH c AS (SELECT l_orderkey AS "commit", l_partkey, sum(l_quantity) AS n FROM l
 t AS (SELECT "commit", sum(n) AS total FROM c GROUP BY ALL HAVING count(*) >= 2)
 SELECT c."commit" AS "commit", round(sum(-(n / total) * log2(n / total)), 6) AS entropy FROM c JOIN t ON c."commit" = t."commit" GROUP BY c."commit" """
 
+def cycle_trends(s, d):
+    """Suppliers in rings: by thirties now, by sixties without every seventh before."""
+    k = F.col("s_suppkey")
+    supp = table(s, d, "supplier")
+    now = supp.select((k % 30).alias("cycle"), k.alias("member"))
+    before = supp.filter("s_suppkey % 30 not in (3, 5)").select(F.when(k % 30 < 8, (k - 1) % 11).otherwise(k % 60 + 100).alias("cycle"), k.alias("member"))
+    return H.cycle_trend(before, now)
+
+
+TREND_SQL = """
+WITH now AS (SELECT s_suppkey % 30 AS cycle, s_suppkey AS member FROM supplier),
+before AS (SELECT CASE WHEN s_suppkey % 30 < 8 THEN (s_suppkey - 1) % 11 ELSE s_suppkey % 60 + 100 END AS old, s_suppkey AS member FROM supplier WHERE s_suppkey % 30 NOT IN (3, 5)),
+n AS (SELECT cycle, list(member) AS m FROM now GROUP BY cycle), b AS (SELECT old, list(member) AS m FROM before GROUP BY old),
+j AS (SELECT n.cycle, len(n.m) AS size, coalesce(bool_or(list_has_any(n.m, b.m)), false) AS met, max(len(b.m)) FILTER (len(b.m) < len(n.m) AND list_has_all(n.m, b.m)) AS previous FROM n LEFT JOIN b ON true GROUP BY n.cycle, n.m)
+SELECT cycle, size, CASE WHEN NOT met THEN 'catalyst' ELSE 'decay' END AS trend, CASE WHEN met THEN previous END AS previous FROM j WHERE NOT met OR previous IS NOT NULL"""
+
 QUERIES = {
+    "cycle_trends": (cycle_trends, TREND_SQL),
     "co_change_pairs": (co_change_pairs, f"WITH {PAIRS} SELECT * FROM pairs"),
     "revisions_in_scope": (revisions, f"WITH {PAIRS} SELECT * FROM revs"),
     "architectural_drift": (architectural_drift, DRIFT_SQL),

@@ -20,25 +20,27 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src long, dst long")
 
 
-def adjacency(lists):
-    return [(i, j) for i, own in enumerate(lists) for j in own]
-
-
-def test_pagerank(spark):
-    r = dict(rows(graph.pagerank(edges(spark, adjacency([[1, 2], [2], [0], [0, 1]]))), "node", "rank"))
-    assert abs(sum(r.values()) - 1) < 1e-6 and len(r) == 4
-    r = dict(rows(graph.pagerank(edges(spark, adjacency([[], [0], [0], [0]]))), "node", "rank"))
-    assert max(r, key=r.get) == 0
+def test_pagerank_of_a_star_and_a_chain(spark):
+    # leaves have (1 - d) / n plus their share of the hub's lost mass, so by hand: hub = h, leaf = l, h + 5 l = 1, l = 0.15 / 6 + 0.85 h / 6
+    r = dict(rows(graph.pagerank(edges(spark, [(x, 9) for x in range(5)])), "node", "rank"))
+    leaf = (0.15 / 6 + 0.85 / 6) / (1 + 5 * 0.85 / 6)
+    assert all(abs(r[x] - leaf) < 1e-5 for x in range(5)) and abs(r[9] - (1 - 5 * leaf)) < 1e-5
+    chain = dict(rows(graph.pagerank(edges(spark, [(x, x + 1) for x in range(6)])), "node", "rank"))
+    assert [chain[x] for x in range(7)] == sorted(chain.values())
+    loop = dict(rows(graph.pagerank(edges(spark, [(0, 1), (1, 2), (2, 0)])), "node", "rank"))
+    assert all(abs(x - 1 / 3) < 1e-9 for x in loop.values())
     assert graph.pagerank(edges(spark, [])).count() == 0
 
 
-def test_louvain():
-    two = [(a, b, 1.0) for a, b in [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5)]]
-    of, q = graph.louvain(two)
-    assert len({of[x] for x in (0, 1, 2)}) == 1 and len({of[x] for x in (3, 4, 5)}) == 1 and of[0] != of[3] and math.isclose(q, 5 / 14)
-    assert len(set(graph.louvain([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0)])[0].values())) == 1
-    of, q = graph.louvain([(x, x, 1.0) for x in range(3)])
-    assert len(set(of.values())) == 3 and q == 0
+def test_louvain_of_two_squares_and_of_loops():
+    # two squares with both diagonals (six edges each) and one bridge: 12 / 13 of the edges are inside, each side has half of the ends
+    square = lambda at: [(at + a, at + b, 1.0) for a in range(4) for b in range(a + 1, 4)]
+    of, q = graph.louvain(square(0) + square(10) + [(0, 10, 1.0)])
+    assert len({of[x] for x in range(4)}) == 1 and len({of[x] for x in range(10, 14)}) == 1 and of[0] != of[10]
+    assert math.isclose(q, 12 / 13 - 0.5)
+    assert len(set(graph.louvain(square(0))[0].values())) == 1
+    of, q = graph.louvain([(x, x, 2.0) for x in range(5)])
+    assert len(set(of.values())) == 5 and q == 0
 
 
 def ring(n):
@@ -50,6 +52,52 @@ def test_cycle_shapes(n, pairs, shape):
     assert graph.cycle_shape(n, pairs) == shape
 
 
+def test_methods_with_common_fields_are_counted_like_pairs(spark):
+    r = random.Random(2)
+    made = [(f"m{i}", "f", f"C{i % 3}", r.sample(["a", "b", "c", "d", "e", None], r.randint(0, 5)) + ["a"] * (i % 2 and r.randint(0, 1)), i % 7 == 0) for i in range(60)]
+    df = spark.createDataFrame(made, "id string, file string, class string, fields array<string>, is_ctor boolean")
+    for few in (6, 2):
+        for (name, value) in rows(C.tcc(df, few), "class", "tcc"):
+            own = [set(m[3]) - {None} for m in made if m[2] == name and not m[4]]
+            pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+            assert math.isclose(value, sum(bool(a & b) for a, b in pairs) / len(pairs))
+
+
+def test_calls_are_resolved_by_the_first_way(spark):
+    methods = spark.createDataFrame([("1", "A", "go"), ("2", "B", "go"), ("3", None, "run"), ("4", "C", "run"), ("5", "C", "only")], "id string, class string, name string")
+    calls = spark.createDataFrame([("x", "A", "go", "B", None), ("y", "A", "go", None, "B"), ("z", None, "run", None, "C"), ("w", None, "run", "Z", None), ("v", None, "only", None, None), ("u", None, "none", None, None), ("y", "A", "go", "B", None)], "src string, src_class string, callee string, receiver_type string, hint_class string")
+    assert rows(C.resolve_calls(calls, methods), "src", "dst", "confidence") == [("v", "5", 3), ("w", "3", 2), ("w", "4", 2), ("x", "2", 4), ("y", "1", 4), ("y", "2", 4), ("z", "4", 3)]
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_near_pairs_and_clusters_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(clones, "BLOCK", block)
+    r = random.Random(block)
+    base = [r.getrandbits(64) for _ in range(12)]
+    made = []
+    for i in range(150):
+        word = r.choice(base)
+        for _ in range(r.choice([0, 0, 3, 6, 9])):
+            word ^= 1 << r.randrange(64)
+        made.append((i, word - (1 << 64) if word >> 63 else word, r.choice([3, 6, 7, 9, 20, 24, 26, 31, 40]), f"f{r.randrange(4)}", r.randrange(200)))
+    df = spark.createDataFrame(made, "id long, word long, loc int, file string, start int")
+    for columns in (["id", "word", "loc"], ["id", "word", "loc", "file", "start"]):
+        want = []
+        for i, a in enumerate(made):
+            for b in made[i + 1 :]:
+                short, long_ = sorted((a[2], b[2]))
+                over = len(columns) > 3 and a[3] == b[3] and a[4] < b[4] + b[2] and b[4] < a[4] + a[2]
+                d = ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count()
+                if short >= 6 and long_ * 100 <= short * 130 and d <= min(12, 7 + (short - 6) // 3) and not over:
+                    want.append((a[0], b[0], d))
+        assert rows(clones.near_pairs(df.select(columns)), "a", "b", "distance") == sorted(want, key=repr)
+        root = {x: x for p in want for x in p[:2]}
+        for _ in root:
+            for a, b, _ in want:
+                root[a] = root[b] = min(root[a], root[b])
+        assert rows(clones.clusters(df.select(columns)), "id", "cluster") == sorted(root.items(), key=repr)
+
+
 def test_strong_components_and_reach(spark):
     assert graph.strong_components([(1, 2), (2, 1), (2, 3), (4, 4), (5, 6)]) == [[1, 2], [4]]
     assert rows(graph.reachable(edges(spark, [(1, 2), (2, 3), (3, 1)])), "src", "dst") == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]

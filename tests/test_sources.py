@@ -12,69 +12,58 @@ from plumbline.extract import lexical, python_ast, tables
 from plumbline.sources import files, gitlog, manifests
 from plumbline.streaming import edits
 
-SHAPES = textwrap.dedent('''
-    import os
-    from app.core import thing
-
-    def flat_calls():
-        a = 1
-        b = 2
-        c = 3
-
-    def pick_branch(x):
-        if x == 1:
-            return 1
-        elif x == 2:
-            return 2
-        else:
-            return 3
-
-    def nested_guard(a, b, c):
-        if a:
-            if b:
-                if c:
-                    return 1
-        return 0
-
-    def loop_filter(xs):
-        out = []
-        for x in xs:
-            if x:
-                out.append(x)
-        return out
-
-    def wide_params(a, b, c, d, e, f):
-        return a
-
-    def bool_blend(a, b, c, d):
-        if (a and b) or (c and d):
-            return 1
-        return 0
-
-    class Box(Base):
-        def __init__(self, size: int, other: Other):
-            self.size = size
-            self.other = other
-
-        def grow(self, by: int) -> int:
+LEDGER = textwrap.dedent('''
+    import decimal
+    from bank.rates import daily
+
+    def total(rows):
+        return sum(r.amount for r in rows)
+
+    def label(balance, limit):
+        text = "ok"
+        while balance > limit and limit:
+            balance -= limit
+            if not balance:
+                text = "even"
+        return text
+
+    def post(entry, book, day, rate, fee, note, user):
+        with book.lock:
+            for part in entry:
+                if part.amount > 0:
+                    book.add(part)
+
+    def settle(a, b):
+        return a if a else (b or 0)
+
+    class Account(Holder):
+        def __init__(self, number: int, owner: Person, currency: str):
+            self.number = number
+            self.owner = owner
+
+        def charge(self, rate: float) -> float:
             try:
-                self.size += by
-            except ValueError:
+                due = self.owner and daily(rate)
+            except ArithmeticError:
                 pass
-            return other.limit + self.helper(by)
+            self.number += 1
+            return branch.fees + self.check(due)
 ''')
 
 
-def test_python_shapes():
-    f = {x["function"]: x for x in python_ast.extract(SHAPES).functions}
-    want = {"flat_calls": (1, 0, 0), "pick_branch": (3, 1, 1), "nested_guard": (4, 3, 3), "loop_filter": (3, 2, 1), "wide_params": (1, 0, 6), "bool_blend": (5, 1, 4)}
-    assert {k: (f[k]["cc"], f[k]["nesting"], f[k]["args"]) for k in want} == want
-    assert f["Box.__init__"]["is_ctor"] and f["Box.__init__"]["args"] == 2 and f["Box.__init__"]["typed"] == 2 and f["Box.__init__"]["primitive"] == 1
-    grow = f["Box.grow"]
-    assert grow["empty_catch"] == 1 and grow["parent"] == "Base" and "size" in grow["fields"] and ("other", "limit") in grow["foreign"] and grow["cc"] == 2
-    facts = python_ast.extract(SHAPES)
-    assert facts.imports == [("os", 2), ("app.core", 3)] and facts.module["functions"] == 8
-    assert any(c["callee"] == "helper" and c["receiver_type"] == "Box" for c in facts.calls)
+def test_python_functions():
+    f = {x["function"]: x for x in python_ast.extract(LEDGER).functions}
+    assert [f[k]["args"] for k in ("total", "label", "post", "settle")] == [1, 2, 7, 2]
+    assert [f[k]["nesting"] for k in ("total", "label", "post")] == [0, 2, 3]
+    # a with counts as a branch, a boolean of a loop's condition does not
+    assert (f["total"]["cc"], f["label"]["cc"], f["post"]["cc"]) == (1, 3, 4)
+    made = f["Account.__init__"]
+    assert made["is_ctor"] and (made["args"], made["typed"], made["primitive"]) == (3, 3, 2)
+    charge = f["Account.charge"]
+    assert charge["empty_catch"] == 1 and charge["parent"] == "Holder" and {"number", "owner"} <= set(charge["fields"]) and ("branch", "fees") in charge["foreign"]
+    facts = python_ast.extract(LEDGER)
+    assert facts.imports == [("decimal", 2), ("bank.rates", 3)] and facts.module["functions"] == 6
+    assert any(c["callee"] == "check" and c["receiver_type"] == "Account" for c in facts.calls)
 
 
 def test_python_invariants():
@@ -129,7 +118,7 @@ def test_every_language_has_a_profile():
 
 def test_tree_to_findings(spark, tmp_path):
     (tmp_path / "src").mkdir()
-    (tmp_path / "src/shapes.py").write_text(SHAPES)
+    (tmp_path / "src/shapes.py").write_text(LEDGER)
     (tmp_path / "src/bad.py").write_bytes(b"\xff\xfe\x00x")
     (tmp_path / "src/long.py").write_text("x = '" + "a" * 200_001 + "'")
     (tmp_path / "node_modules").mkdir()
@@ -142,9 +131,9 @@ def test_tree_to_findings(spark, tmp_path):
     assert sorted(r["path"] for r in found.collect()) == ["src/a.go", "src/h.c", "src/shapes.py"]
     assert {r["path"]: r["reason"] for r in skipped.collect()} == {"src/bad.py": "encoding", "src/long.py": "line_bytes"}
     f = tables.functions(found)
-    assert f.filter("lang = 'python'").count() == 8 and f.filter("lang = 'go'").first()["cc"] == 4
+    assert f.filter("lang = 'python'").count() == 6 and f.filter("lang = 'go'").first()["cc"] == 4
     assert tables.modules(found).filter("lang = 'python'").first()["sum_cc"] > 10
-    assert sorted(r["target"] for r in tables.imports(found).collect()) == ["app.core", "fmt", "os"]
+    assert sorted(r["target"] for r in tables.imports(found).collect()) == ["bank.rates", "decimal", "fmt"]
     assert tables.calls(found).filter("callee = 'helper'").count() == 1 and tables.dataflow(found).count() >= 0
     assert tables.ifdef_density(found).first()["conditionals"] == 41
 
