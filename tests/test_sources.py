@@ -134,7 +134,7 @@ def test_tree_to_findings(spark, tmp_path):
     assert f.filter("lang = 'python'").count() == 6 and f.filter("lang = 'go'").first()["cc"] == 4
     assert tables.modules(found).filter("lang = 'python'").first()["sum_cc"] > 10
     assert sorted(r["target"] for r in tables.imports(found).collect()) == ["bank.rates", "decimal", "fmt"]
-    assert tables.calls(found).filter("callee = 'helper'").count() == 1 and tables.dataflow(found).count() >= 0
+    assert tables.calls(found).filter("callee = 'check'").count() == 1 and tables.dataflow(found).count() >= 0
     assert tables.ifdef_density(found).first()["conditionals"] == 41
 
 
