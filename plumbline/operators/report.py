@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PILLARS = {
-    "structure": ["martin_distance", "import_cycle", "unstable_dependency", "hub_like", "god_component", "zero_edges", "over_fragmented", "compound"],
+    "structure": ["martin_distance", "import_cycle", "unstable_dependency", "hub_like", "god_component", "zero_edges", "over_fragmented", "remodularize", "move", "compound"],
     "design": ["god_class", "feature_envy", "shotgun_surgery", "divergent_change", "parallel_inheritance", "refused_bequest", "low_cohesion", "anomaly"],
-    "duplication": ["pattern", "clone_cluster", "vulnerable_sibling"],
+    "duplication": ["exact_clone", "similar_clone", "pattern", "clone_cluster", "vulnerable_sibling"],
     "dependencies": ["bloated", "phantom", "constraint", "reflexion", "freshness", "vulnerable"],
     "history": ["drift", "build_co_change", "hotspot", "fragmentation", "file_blob", "change_shotgun", "defect_prone", "catalyst", "decay"],
 }

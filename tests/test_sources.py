@@ -239,6 +239,8 @@ def test_commands(spark, tmp_path, capsys):
     branches = "".join(f"    if a == {i}:\n        b += {i}\n" for i in range(12))
     (tmp_path / "app/a.py").write_text(f"import app.b\n\ndef f(a, b):\n{branches}    return b\n")
     (tmp_path / "app/b.py").write_text("from app.a import f\n")
+    for k in range(3):
+        (tmp_path / f"app/c{k}.py").write_text(f"x = {k}\n")
     assert cli.main(["check", str(tmp_path)]) == 1 and "app/a.py:3 complex_method (f) 13" in capsys.readouterr().out
     (tmp_path / "plumbline.toml").write_text("[thresholds.function]\ncc_warning = 14\ncogc_warning = 99\n")
     assert cli.main(["check", str(tmp_path), "--json"]) == 0
