@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from plumbline.session import written
 
 #: Edges that a driver-side kernel takes; more are an error rather than a stalled driver.
 DRIVER_EDGES = 2_000_000
+#: Edges of a graph that is ranked on the driver.
+DRIVER_LINKS = 200_000
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
@@ -47,10 +50,14 @@ def pagerank(edges: DataFrame, t: Graph = DEFAULTS.graph, iterations: int | None
     """(node, rank) by power iteration; the mass of nodes without out-edges is spread evenly.
 
     Stops after `iterations` steps if given, else when the change is below
-    epsilon. The ranks of each step are a written table, so the plan of a step
-    does not grow with the steps before it.
+    epsilon. A module graph of up to DRIVER_LINKS edges is ranked on the driver.
+    Beyond that the ranks of each step are a written table, so the plan of a
+    step does not grow with the steps before it.
     """
     e = unique_edges(edges)
+    rows = [tuple(r) for r in e.limit(DRIVER_LINKS + 1).collect()]
+    if len(rows) <= DRIVER_LINKS:
+        return _small_pagerank(edges, rows, t, iterations)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = written(e.join(out, "src"), "links")
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
@@ -67,6 +74,21 @@ def pagerank(edges: DataFrame, t: Graph = DEFAULTS.graph, iterations: int | None
     return ranks.select("node", "rank")
 
 
+def _small_pagerank(edges: DataFrame, rows: list[tuple], t: Graph, iterations: int | None) -> DataFrame:
+    nodes = sorted({x for r in rows for x in r})
+    at = {x: i for i, x in enumerate(nodes)}
+    src, dst = (np.array([at[r[k]] for r in rows], dtype=np.int64) for k in (0, 1))
+    n, out = len(nodes), np.bincount(src, minlength=len(nodes))
+    rank = np.full(n, 1.0 / max(n, 1))
+    for _ in range((iterations or t.max_iterations) if n else 0):
+        got = np.bincount(dst, (rank / np.maximum(out, 1))[src], n)
+        new = (1 - t.damping) / n + t.damping * (got + rank[out == 0].sum() / n)
+        moved, rank = np.abs(new - rank).sum(), new
+        if iterations is None and moved < t.epsilon:
+            break
+    return edges.sparkSession.createDataFrame(list(zip(nodes, rank.tolist())), f"node {dict(edges.dtypes)['src']}, rank double")
+
+
 def reachable(edges: DataFrame) -> DataFrame:
     """(src, dst) of all paths of one edge or more. Known paths are joined to themselves, so the steps grow with the logarithm of the longest path."""
     paths, n = written(unique_edges(edges), "paths"), -1

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS, Mining, Named
+from plumbline.session import written
 
 
 def words_of(name: Column) -> Column:
@@ -22,8 +23,9 @@ def conceptual_cohesion(vocabulary: DataFrame, t: Named = DEFAULTS.named) -> Dat
     Unit vectors: the sum of all pairwise products is (|sum of vectors|^2 - sum of
     |vector|^2) / 2, so no pairs are formed.
     """
-    methods = vocabulary.select("class", "method").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("methods"))
-    tf = vocabulary.groupBy("class", "method", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # written, for it is read five times and the vocabulary is far longer
+    tf = written(vocabulary.groupBy("class", "method", "word").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    methods = tf.select("class", "method").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("methods"))
     df = tf.groupBy("class", "word").agg(F.count(F.lit(1)).alias("df"))
     x = tf.join(df, ["class", "word"]).join(methods, "class").withColumn("x", F.col("tf") * (F.log((1 + F.col("methods")) / (1 + F.col("df"))) + 1))
     norm = x.groupBy("class", "method").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

@@ -241,6 +241,17 @@ def lcom4(s, d):
     return C.lcom4(_methods(s, d))
 
 
+LCOM_SQL = f"""
+WITH RECURSIVE {METHODS},
+n AS (SELECT file, class, count(*) AS methods, count(*) FILTER (NOT is_ctor) AS plain FROM me GROUP BY ALL),
+u AS (SELECT DISTINCT file, class, id, unnest(fields) AS field FROM me WHERE NOT is_ctor),
+e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM u a JOIN u b ON a.file = b.file AND a.class = b.class AND a.field = b.field),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+g AS (SELECT x, min(y) AS root FROM reach GROUP BY x),
+k AS (SELECT file, class, count(DISTINCT root) AS parts FROM me JOIN g ON id = x GROUP BY ALL)
+SELECT n.file AS file, n.class AS class, CAST(CASE WHEN methods < 3 OR plain < 2 THEN 1 ELSE parts END AS INT) AS lcom4 FROM n LEFT JOIN k ON n.file = k.file AND n.class = k.class"""
+
+
 def anomalies(s, d):
     lines = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.log(F.count(F.lit(1)) + 1).alias("a"), F.avg("l_discount").alias("b"), F.log(F.sum("l_quantity") + 1).alias("c"), F.log(F.count_distinct("l_partkey") + 1).alias("e"))
     return C.anomalies(lines.withColumn("project", F.lit(1)), "l_suppkey", ["a", "b", "c", "e"], "project", replace(DEFAULTS.named, anomaly_distance=8.0)).withColumn("distance", F.round("distance", 4))
@@ -441,7 +452,7 @@ QUERIES = {
     "shotgun_surgery": (shotgun_surgery, SHOTGUN_SQL),
     "divergent_change": (divergent_change, DIVERGENT_SQL),
     "call_resolution": (call_resolution, RESOLVE_SQL),
-    "lcom4": (lcom4, None),
+    "lcom4": (lcom4, LCOM_SQL),
     "anomalous_classes": (anomalies, None),
     "parallel_inheritance": (parallel_inheritance, PARALLEL_SQL),
     "refused_bequest": (refused_bequest, BEQUEST_SQL),
