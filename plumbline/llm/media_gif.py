@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,9 @@ ROW, FRAME_ROWS, DELAY_MS = 192, 1024, 40
 #: Bins a colour channel: 4 x 4 x 4 colours.
 BINS = 4
 
+#: What decoding says of bytes that are no GIF, or end in the midst of a number.
+BROKEN = (ValueError, IndexError, struct.error)
+
 FRAMES = "media_id long, frame int, start_ms long, delay_ms int, width int, height int, disposal int, transparent int, histogram array<int>, visible long"
 
 
@@ -71,7 +75,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     gif = decode(data.as_py() or b"")
-                except (ValueError, IndexError):
+                except BROKEN:
                     continue
                 at = 0
                 for k, (f, seen) in enumerate(zip(gif.frames, canvases(gif))):
@@ -84,23 +88,47 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(explode, FRAMES)
 
 
+#: What is told of a frame beside its medium: when it is shown and for how long, the pixels seen then and their colours.
+SHOWN = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("visible", pa.int64()), ("histogram", pa.list_(pa.int32()))]))
+
+
+def shown(gif: Gif) -> list[dict]:
+    """The timed frames of a GIF as they are seen: palettes applied, transparency left out, disposed of one after another."""
+    out, at = [], 0
+    for f, seen in zip(gif.frames, canvases(gif)):
+        h = histogram(seen)
+        out.append({"start_ms": at, "delay_ms": f.delay_ms, "visible": int(h.sum()), "histogram": h.tolist()})
+        at += f.delay_ms
+    return out
+
+
+def _told(data: bytes | None) -> tuple | None:
+    try:
+        gif = decode(data or b"")
+    except BROKEN:
+        return None
+    payload, seen = samples(gif), shown(gif)
+    grey = np.bincount(np.frombuffer(payload, dtype=np.uint8) >> 4, minlength=16)
+    colours = np.sum([x["histogram"] for x in seen], axis=0).tolist() if seen else []
+    feature = f"gif;frames={len(seen)};ms={sum(x['delay_ms'] for x in seen)};grey16=" + ",".join(map(str, grey.tolist()))
+    feature += ";colours64=" + ",".join(f"{k}:{n}" for k, n in enumerate(colours) if n)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, seen
+
+
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features from the stored bytes alone; the feature is of the samples after decoding."""
+    """Digests, features and timed frames from the stored bytes alone.
+
+    The feature is of the samples after decoding and of the colours of all
+    frames as they are seen. A null medium and bytes that are no GIF give nulls.
+    """
     small_batches(media.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms: long, delay_ms: int, visible: long, histogram: array<int>>>"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), SHOWN]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2):
-                data = data.as_py()
-                gif = decode(data)
-                payload = samples(gif)
-                grey = np.bincount(np.frombuffer(payload, dtype=np.uint8) >> 4, minlength=16)
-                feature = f"gif;frames={len(gif.frames)};ms={sum(f.delay_ms for f in gif.frames)};grey16=" + ",".join(map(str, grey.tolist()))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in schema.split(", ")]
+            rows = [_told(data.as_py()) or (None,) * len(kinds) for data in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(digest, schema)

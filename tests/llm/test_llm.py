@@ -494,6 +494,15 @@ def test_media(spark, odd, empty):
         want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
     assert got == want
     assert media.read_back(media.store_texts(empty)).count() == 0
+    told = {x["doc_id"]: x for x in media.read_back(stored).collect() if x["doc_id"] is not None}
+    for i, t in ODD:
+        if i is not None and told[i]["n_bytes"] == len((t or "").encode()):
+            seen = np.bincount([(b >> 6) * 21 for b in media.payload_of(t)], minlength=64)
+            assert np.sum([f["histogram"] for f in told[i]["frames"]], axis=0).tolist() == seen.tolist()
+            assert [f["start_ms"] for f in told[i]["frames"]] == [40 * k for k in range(len(told[i]["frames"]))]
+            assert told[i]["feature"].endswith(";colours64=" + ",".join(f"{k}:{n}" for k, n in enumerate(seen) if n))
+    broken = spark.createDataFrame([(1, 3, b"no gif"), (2, 4, None), (3, 5, b"GIF89a\x01")], "doc_id long, n_bytes long, media binary")
+    assert {(x["doc_id"], x["n_bytes"], x["feature"], x["payload_bytes"]) for x in media.read_back(broken).collect()} == {(1, 3, None, None), (2, 4, None, None), (3, 5, None, None)}
     shown = media.frames(stored).collect()
     assert len(shown) >= len(ODD) and all(sum(x["histogram"]) == x["visible"] for x in shown)
     assert media.frames(spark.createDataFrame([(1, b"no gif"), (2, None)], "doc_id long, media binary")).count() == 0
