@@ -121,9 +121,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_col, text_col = new[id_col], new[text_col]
     rows = written(chunks(docs, id_col, text_col, edges), "chunks")
     place = F.struct("__id", "__key", "first")
-    repeated = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).filter("times > 1")
-    repeated = written(repeated.select("chunk", "kept"), "repeated")
-    hits = written(rows.join(sized(repeated.select("chunk"), broadcast_rows), "chunk"), "hits")
+    # nearly all chunks stand once: only hashes and numbers are shuffled for them, places for the others
+    repeated = written(rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("chunk"), "repeated")
+    hits = written(rows.join(sized(repeated, broadcast_rows), "chunk"), "hits")
+    kept = written(hits.groupBy("chunk").agg(F.min(place).alias("kept")), "kept")
 
     text = F.col(text_col).cast("string")
 
@@ -137,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.withColumn("bytes", F.array_join(F.slice("__lines", F.col("first") + 1, F.col("n")), "\n")).drop("__lines")
     kinds = own.groupBy("chunk", "bytes").agg(F.min(place).alias("kept"))
     unlike = written(kinds.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("chunk"), "unlike")
-    sure = hits.join(sized(repeated, broadcast_rows), "chunk")
+    sure = hits.join(sized(kept, broadcast_rows), "chunk")
     if not unlike.isEmpty():
         # a hash of several texts: each of them has a first occurrence of its own
         apart = own.join(sized(unlike, broadcast_rows), "chunk")
