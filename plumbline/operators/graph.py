@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, StructField, StructType
 
 from plumbline.config import DEFAULTS, Graph
 from plumbline.session import written
@@ -242,24 +244,51 @@ def communities(edges: DataFrame, t: Graph = DEFAULTS.graph) -> DataFrame:
     return edges.sparkSession.createDataFrame([(x, c, q) for x, c in found.items()], f"node {dict(edges.dtypes)['src']}, community int, modularity double")
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+def _driver_roots(links: DataFrame) -> DataFrame:
+    """(node, head) of every node of links (src, dst), a head for each component. Each root hooks on to the least root beside it, so that half of them go in a step."""
+    table = links.toArrow()
+    names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], type=table["src"].type).combine_chunks().dictionary_encode()
+    a, b = np.split(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), 2)
+    root = np.arange(len(names.dictionary))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((further := root[root]) != root).any():
+            root = further
+    node = links.schema["src"].dataType
+    schema = StructType([StructField("node", node), StructField("head", node)])
+    return links.sparkSession.createDataFrame(pa.table({"node": names.dictionary, "head": names.dictionary.take(pa.array(root))}), schema)
+
+
+def weak_components(edges: DataFrame, few: int = DRIVER_EDGES) -> DataFrame:
     """(node, component): the least node that can be reached over edges in either direction.
 
-    Minimum labels spread along the edges and jump to the label's own label,
-    so the number of steps grows with the logarithm of the longest path.
+    In each round every node becomes the one of least hash among itself and its
+    neighbours, and the graph is that of the nodes which are left: half of a
+    path, less of denser graphs. Hashes are new in each round, so no numbering
+    makes rounds many. A graph of at most `few` edges is ended on the driver.
     """
     e = unique_edges(edges)
-    both = written(e.union(e.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "both")
-    labels = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("component", F.col("node"))
-    labels = written(labels, "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(new.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"), "labels")
-        labels = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
+    links = e.filter("src <> dst")
+    links, heads = written(links.union(links.select("dst", "src")).distinct(), "links"), []
+    driver = few if isinstance(links.schema["src"].dataType, AtomicType) else 0
+    while (n := links.count() // 2) > driver:
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(heads)), c).alias("hash"), F.col(c).alias("node"))
+        near = links.groupBy("src").agg(F.min(order("dst")).alias("near"))
+        heads.append(written(near.select(F.col("src").alias("node"), F.least(order("src"), "near")["node"].alias("head")), "heads"))
+        own = links.join(heads[-1].select(F.col("node").alias("src"), F.col("head").alias("a")), "src")
+        own = own.join(heads[-1].select(F.col("node").alias("dst"), F.col("head").alias("b")), "dst")
+        links = written(own.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
+    if n:
+        heads.append(written(_driver_roots(links.filter("src < dst")), "heads"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).filter("node is not null").distinct()
+    roots = None
+    for h in [*reversed(heads), nodes.withColumn("head", F.col("node"))]:
+        if roots is not None:
+            h = h.join(roots.select(F.col("node").alias("head"), F.col("head").alias("root")), "head", "left").select("node", F.coalesce("root", "head").alias("head"))
+        roots = written(h, "roots")
+    least = roots.groupBy("head").agg(F.min("node").alias("component"))
+    return written(roots.join(least, "head").select("node", "component"), "labels")
 
 
 def component_graph(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:

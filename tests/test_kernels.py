@@ -105,6 +105,21 @@ def test_strong_components_and_reach(spark):
     assert rows(graph.weak_components(edges(spark, [(i, i + 1) for i in range(20)] + [(50, 51)])), "node", "component")[-1] == (9, 0)
 
 
+@pytest.mark.parametrize("few", [graph.DRIVER_EDGES, 0, 9])
+def test_weak_components_need_few_rounds_on_a_long_chain(spark, monkeypatch, few):
+    counted = []
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: counted.append(name) or write(df, name))
+    r = random.Random(5)
+    far = r.sample(range(100, 900), 400)
+    made = [(f"n{a:03}", f"n{b:03}") for a, b in [*zip(far, far[1:]), (900, 901), (903, 902), (904, 904), (901, 902), (905, 906)]]
+    want = {x: min(f"n{y:03}" for y in far) for x in (f"n{y:03}" for y in far)} | {f"n90{i}": "n900" for i in range(4)} | {"n904": "n904", "n905": "n905", "n906": "n905"}
+    assert dict(rows(graph.weak_components(spark.createDataFrame([*made, (None, "n904")], "src string, dst string"), few), "node", "component")) == want
+    assert len(counted) <= (5 if few > 9 else 50)
+    inner = spark.createDataFrame(made, "src string, dst string").select(F.struct("src").alias("src"), F.struct(F.col("dst").alias("src")).alias("dst"))
+    if few:
+        assert {x[0][0]: x[1][0] for x in graph.weak_components(inner.filter("src.src like 'n9%'"), few).collect()} == {k: v for k, v in want.items() if k.startswith("n9")}
+
+
 def test_instability(spark):
     got = spark.range(1).select(graph.instability(F.lit(5), F.lit(0)).alias("a"), graph.instability(F.lit(0), F.lit(0)).alias("b"), graph.instability(F.lit(1), F.lit(3)).alias("c")).first()
     assert tuple(got) == (0.0, 0.0, 0.75)
