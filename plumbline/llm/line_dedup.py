@@ -15,7 +15,10 @@ its place. So every repeated passage of that size goes whole; nine in ten of
 the shortest, and all longer ones but for an edge, go by the chunkings alone.
 
 Chunks are counted globally by their hash; of a repeated chunk the first
-occurrence stays and the others go, if they are the same bytes.
+occurrence stays and the others go, if they are the same bytes. Bytes are
+compared line by line, as a line is in several chunks: a chunk's hash must be of
+one list of line hashes, and a line's of one line. Whole texts are shuffled only
+where a bitmap does not rule out that they have a repeated chunk.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import documents, shielded, sized, written
+from plumbline.llm.decontaminate import may_be_among
 
 #: Chunkings, and lines of a chunk at most.
 CHUNKINGS, MOST_LINES = 4, 6
@@ -31,14 +35,18 @@ CHUNKINGS, MOST_LINES = 4, 6
 LONG_LINE = 200
 #: Characters of a chunk of several lines at least.
 LEAST_CHARS = 40
-#: Rows of hits and of repeated chunks (some 50 bytes each) that are broadcast; more are joined by shuffle.
+#: Rows of repeated chunks (some 50 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds __lines, __hashes and __key, the identity of a text."""
     text = F.col(text_col).cast("string")
-    return docs.withColumns({"__lines": F.split(text, "\n", -1), "__key": F.xxhash64(text)}).withColumn("__hashes", F.transform("__lines", lambda x: F.xxhash64(x)))
+    return docs.withColumns({"__lines": F.split(text, "\n", -1), "__key": F.xxhash64(text)}).withColumn("__hashes", F.transform("__lines", lambda x: _hash(x)))
 
 
 def _rolled() -> Column:
@@ -101,6 +109,21 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edge
     return rows.select("__id", "__key", F.col("run.first").alias("first"), F.col("run.n").alias("n"), F.xxhash64(own("__hashes")).alias("chunk"))
 
 
+def _divided(docs: DataFrame, id_col: str, text_col: str, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that may be among texts (__id, __key; a written table), and docs that are not, told by a bitmap and without a shuffle."""
+    seeds = texts.select(F.xxhash64("__id", "__key").alias("__seed"))
+    may = may_be_among(seeds, texts.count(), F.xxhash64(id_col, F.xxhash64(F.col(text_col).cast("string"))))
+    return docs.filter(may), docs.filter(~may)
+
+
+def _compared() -> Column:
+    """(whole, hash, bytes) of the lines and chunks of __of, from __lines; for a chunk its line hashes are the bytes."""
+    hashed = lambda c: F.transform(F.slice("__lines", c["first"] + 1, c["n"]), lambda x: _hash(x).cast("string"))
+    at = F.array_distinct(F.flatten(F.transform("__of", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1))))
+    lines = F.transform(F.transform(at, lambda i: F.get("__lines", i)), lambda x: F.struct(F.lit(False).alias("whole"), _hash(x).alias("hash"), x.alias("bytes")))
+    return F.concat(lines, F.transform("__of", lambda c: F.struct(F.lit(True).alias("whole"), c["chunk"].alias("hash"), F.array_join(hashed(c), " ").alias("bytes"))))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, edges: bool = True) -> DataFrame:
     """docs with the repeated chunks cut out of the text, and removed_lines, the number of lines cut.
 
@@ -128,19 +151,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.col(text_col).cast("string")
 
-    def met(per_text: DataFrame, how: str, few: bool) -> DataFrame:
+    def met(some: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
         per_text = per_text.withColumnsRenamed({"__id": "__of_id", "__key": "__of_key"})
-        return docs.join(F.broadcast(per_text) if few else per_text.hint("merge"), F.col(id_col).eqNullSafe(F.col("__of_id")) & (F.xxhash64(text) == F.col("__of_key")), how)
+        return some.join(per_text.hint("merge"), F.col(id_col).eqNullSafe(F.col("__of_id")) & (F.xxhash64(text) == F.col("__of_key")), how)
 
     # byte comparison: equal bytes are one group, whatever their number, before anything is shuffled
-    of = hits.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n", "chunk")).alias("__of"))
-    own = met(of, "inner", hits.count() <= broadcast_rows).select(F.col("__of_id").alias("__id"), F.col("__of_key").alias("__key"), F.split(text, "\n", -1).alias("__lines"), F.explode("__of").alias("c")).select("__id", "__key", "c.*", "__lines")
-    own = own.withColumn("bytes", F.array_join(F.slice("__lines", F.col("first") + 1, F.col("n")), "\n")).drop("__lines")
-    kinds = own.groupBy("chunk", "bytes").agg(F.min(place).alias("kept"))
-    unlike = written(kinds.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("chunk"), "unlike")
+    of = written(hits.groupBy("__id", "__key").agg(F.collect_set(F.struct("first", "n", "chunk")).alias("__of")), "of")
+    own = met(_divided(docs, id_col, text_col, of)[0].select(id_col, text_col), of, "inner").select(F.col("__of_id").alias("__id"), F.col("__of_key").alias("__key"), F.split(text, "\n", -1).alias("__lines"), "__of")
+    kinds = own.select(F.explode(_compared()).alias("k")).select("k.*").distinct().groupBy("whole", "hash").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = written(kinds.filter("kinds > 1").select("whole", "hash"), "kinds")
     sure = hits.join(sized(kept, broadcast_rows), "chunk")
-    if not unlike.isEmpty():
+    if not kinds.isEmpty():
         # a hash of several texts: each of them has a first occurrence of its own
+        own = own.select("__id", "__key", "__lines", F.explode("__of").alias("c")).select("__id", "__key", "c.*", F.slice("__lines", F.col("c.first") + 1, F.col("c.n")).alias("__lines"))
+        lines = own.select("chunk", F.explode("__lines").alias("line")).withColumn("hash", _hash(F.col("line")))
+        unlike = lines.join(kinds.filter("not whole"), "hash").select("chunk").union(kinds.filter("whole").select("hash")).distinct()
+        unlike, own = written(unlike, "unlike"), own.withColumn("bytes", F.array_join("__lines", "\n")).drop("__lines")
         apart = own.join(sized(unlike, broadcast_rows), "chunk")
         firsts = apart.groupBy("chunk", "bytes").agg(F.min(place).alias("kept"))
         sure = sure.join(sized(unlike, broadcast_rows), "chunk", "left_anti").unionByName(apart.join(firsts, ["chunk", "bytes"]).drop("bytes"))
@@ -148,7 +174,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = sure.filter(~place.eqNullSafe(F.col("kept")))
     cut = cut.filter(~(F.col("__id").eqNullSafe(F.col("kept.__id")) & (F.col("__key") == F.col("kept.__key")) & (F.col("first") < F.col("kept.first") + F.col("n"))))
     cut = written(cut.select("__id", "__key", "first", "n").distinct(), "cut")
-    out = met(cut.groupBy("__id", "__key").agg(F.collect_list(F.struct("first", "n")).alias("__cut")), "left", cut.count() <= broadcast_rows)
+    per_text = written(cut.groupBy("__id", "__key").agg(F.collect_list(F.struct("first", "n")).alias("__cut")), "per_text")
+    may, others = _divided(docs, id_col, text_col, per_text)
+    out = met(may, per_text, "left").select(*docs.columns, "__cut").union(others.withColumn("__cut", F.lit(None).cast(per_text.schema["__cut"].dataType)))
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("__cut", lambda c: (i >= c["first"]) & (i < c["first"] + c["n"])))
     out = out.withColumn("__stays", F.when(F.col("__cut").isNotNull(), stays))
     removed = F.when(F.col("__stays").isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)) - F.size("__stays"))

@@ -167,6 +167,32 @@ def test_chunks_of_one_hash_and_other_bytes_stay(spark, monkeypatch):
     assert by_id(ld.dedup_lines(df).select("doc_id", "text")) == [(1, a), (2, b), (3, ""), (4, c), (5, "x")]
 
 
+def test_lines_of_one_hash_and_other_bytes_stay(spark, monkeypatch):
+    # lines have one hash if they begin alike
+    monkeypatch.setattr(ld, "_hash", lambda x: F.xxhash64(F.substring(x, 1, 4)))
+    docs = line_corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (ld.BROADCAST_ROWS, 0):
+        assert by_id(ld.dedup_lines(df, broadcast_rows=most).select("doc_id", "text")) == sorted(brute_lines(docs), key=repr)
+
+
+def test_texts_without_repeated_lines_are_not_shuffled(spark):
+    r = random.Random(13)
+    new = lambda: " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(9))
+    docs = [(i, "\n".join(new() for _ in range(3))) for i in range(500)]
+    docs += [(500 + i, docs[i][1] + "\n" + new()) for i in range(20)] + [(None, docs[30][1]), (600, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = df.filter("doc_id >= 500 or doc_id is null").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key")).filter("__id is null or __id < 600")
+    may, others = (part.collect() for part in ld._divided(df, "doc_id", "text", texts))
+    assert len(may) + len(others) == len(docs) and len(others) > 400
+    assert {x["doc_id"] for x in may} >= {None, *range(500, 520)}
+    got = ld.dedup_lines(df)
+    assert by_id(got.select("doc_id", "text")) == sorted(brute_lines(docs), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # texts that have nothing to be cut come by a branch without a join
+    assert plan.startswith("Union") or "\n:- " in plan and plan.index("Union") < plan.index("Join")
+
+
 def test_repeated_passages_go_whole(spark):
     r = random.Random(8)
     new = lambda k: " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(k))
