@@ -69,6 +69,24 @@ def test_calls_are_resolved_by_the_first_way(spark):
     assert rows(C.resolve_calls(calls, methods), "src", "dst", "confidence") == [("v", "5", 3), ("w", "3", 2), ("w", "4", 2), ("x", "2", 4), ("y", "1", 4), ("y", "2", 4), ("z", "4", 3)]
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_calls_are_shuffled_only_when_they_are_resolved(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "REGISTRY_ROWS", few, raising=False)
+    methods = spark.createDataFrame([(str(i), f"C{i % 7}", f"m{i % 5}") for i in range(70)] + [("a", None, "run"), ("b", "C1", "run")], "id string, class string, name string")
+    ways = [(f"C{i % 9}", f"m{i % 6}", f"C{i % 8}" if i % 3 else None, f"C{i % 7}" if i % 2 else None) for i in range(500)]
+    calls = [(f"s{i % 250}", *w) for i, w in enumerate(ways)] + [("t", None, "run", "C9", None), ("u", "C1", "run", None, None)] * 2
+    made, want = [tuple(r) for r in methods.collect()], {}
+    for src, own, callee, receiver, hint in calls:
+        met = next(((c, level) for c, level in ((receiver, 4), (own, 4), (hint, 3)) if c and (c, callee) in {x[1:] for x in made}), None)
+        few_classes = len({x[1] for x in made if x[2] == callee}) <= config.DEFAULTS.named.call_targets
+        for i, c, n in made:
+            if n == callee and (met and met[0] == c or not met and few_classes):
+                want[src, i] = max(want.get((src, i), 0), met[1] if met else 2)
+    got = C.resolve_calls(spark.createDataFrame(calls, "src string, src_class string, callee string, receiver_type string, hint_class string"), methods)
+    assert rows(got, "src", "dst", "confidence") == sorted((s, d, c) for (s, d), c in want.items())
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_near_pairs_and_clusters_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(clones, "BLOCK", block)
