@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import string
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -16,6 +17,15 @@ CACHE_WORDS, LARGE_CACHE_WORDS, SMALL_CACHE_WORDS = 1_000_000, 1_250_000, 200_00
 #: A control character, a word of its own between chunks that are encoded together, and how many those are.
 MARK, JOINED = "\x01", 1024
 
+#: How a vocabulary writes the byte of a space, and the end of a word where that is part of a token.
+SPACE, WORD_END = "\u0120", "</w>"
+
+#: Two characters between which a text is not cut, for with the second a token may begin before it: a no-break space goes into tokens with the spaces around it.
+UNCUT = ("  ", "\xa0 ")
+
+#: Characters that are punctuation or symbols to both kinds of tokenizer; an apostrophe may begin a contraction. Those of a word's end at most, and the first letter that a normalizer takes apart.
+PUNCTUATION, MOST_TAIL, PLAIN = string.punctuation.replace("'", ""), 4, "\u0130"
+
 #: Texts that a worker remembers whole, and the characters they have at most.
 COPIES, COPY_CHARS = 1_000, 16_384
 
@@ -28,8 +38,8 @@ class Encoder:
     Both kinds of tokenizer files start a new pre-token at a space after a
     character that is no space, whatever follows. So a text is cut there, each
     distinct chunk is encoded once by the library, and the ids are strung
-    together. A text with two spaces in a row is encoded as one chunk, for there
-    the pre-tokens depend on what follows. Special tokens' strings in a text are
+    together. A text with two spaces in a row, or a space after a no-break space,
+    is encoded as one chunk, for there the pre-tokens depend on what follows. Special tokens' strings in a text are
     ordinary text.
     """
 
@@ -43,28 +53,61 @@ class Encoder:
         self.copies: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.mark = " " + MARK
         self.mark_ids = self.library.encode(self.mark, add_special_tokens=False).ids
+        vocabulary = self.library.get_vocab()
+        # by id: tokens that begin with a space, as bytes are written in a vocabulary, and tokens that end a pre-token
+        self.spaces, self.ends = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(2))
+        self.spaces[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.spaces_stay = bool(self.spaces[self.library.encode(" a b", add_special_tokens=False).ids].sum() == 2)
 
     def _learn(self, new: list[str]) -> None:
-        """Has the library encode new words, each after a space, many in one text with a marker between them, which costs less than one by one."""
-        spaced, mark = self.spaced, self.mark
-        own, alone = len(self.mark_ids) * 4, [x for x in new if MARK in x or not x or "  " in x]
+        """Has the library encode new words, each after a space, many in one text, which costs less than one by one.
+
+        Where spaces are part of tokens, a word's ids begin at a token with its
+        space. Else a word of letters is one pre-token and ends at a token that
+        ends one, and other words have a marker between them. A group of which
+        the number of words does not come out is encoded one by one. A word of
+        letters with punctuation after it is put together from both.
+        """
+        heads = {x: head for x in new if not x.isalpha() and self._ends_plainly(x, head := x.rstrip(PUNCTUATION))}
+        if heads:
+            new = list((set(new) - heads.keys()) | (set(heads.values()) - self.spaced.keys()))
+        alone = [x for x in new if not x or x.strip() != x or MARK in x or "  " in x]
         if alone:
             new = list(set(new).difference(alone))
-        groups = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
+        if self.spaces_stay:
+            alone += self._learn_joined(new, "", lambda ids: np.append(np.flatnonzero(self.spaces[ids])[1:], len(ids)), 0)
+        else:
+            alone += self._learn_joined([x for x in new if x.isalpha()], "", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
+            alone += self._learn_joined([x for x in new if not x.isalpha()], self.mark, lambda ids: np.flatnonzero(ids == self.mark_ids[-1]) + 1, len(self.mark_ids))
+        for chunk, ids in zip(alone, self._ask([" " + x for x in alone])):
+            self.spaced[chunk] = ids
+        tails = list({x[len(head) :] for x, head in heads.items()} - self.tails.keys())
+        self.tails.update(zip(tails, self._ask(tails)))
+        self.spaced.update((x, self.spaced[head] + self.tails[x[len(head) :]]) for x, head in heads.items())
+
+    @staticmethod
+    def _ends_plainly(chunk: str, head: str) -> bool:
+        """Whether a word is its head, letters of which there is no doubt, and a few punctuation characters, which are a pre-token of their own."""
+        return head.isalpha() and 0 < len(chunk) - len(head) <= MOST_TAIL and (head.isascii() or max(head) < PLAIN)
+
+    def _learn_joined(self, new: list[str], mark: str, ends_of: Callable[[np.ndarray], np.ndarray], own: int) -> list[str]:
+        """Words of groups for which ends_of (the ends of the words' ids, each with `own` ids of the mark) does not give one end for each."""
+        left, groups = [], [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
         for at in range(0, len(groups), 16):
             texts = [" " + f"{mark} ".join(group) + mark for group in groups[at : at + 16]]
             for group, e in zip(groups[at : at + 16], self.library.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
-                ends = (np.flatnonzero(ids == self.mark_ids[-1]) + 1) * 4
+                ends = ends_of(ids)
                 if len(ends) != len(group):
-                    alone += group
+                    left += group
                     continue
-                data, ends = ids.tobytes(), ends.tolist()
-                spaced.update(zip(group, [data[a : b - own] for a, b in zip([0, *ends], ends)]))
-        for chunk, ids in zip(alone, self._ask([" " + x for x in alone])):
-            spaced[chunk] = ids
+                data, ends = ids.tobytes(), (ends * 4).tolist()
+                self.spaced.update(zip(group, [data[a : b - own * 4] for a, b in zip([0, *ends], ends)]))
+        return left
 
     def _ask(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -85,10 +128,10 @@ class Encoder:
 
     def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         spaced = self.spaced
-        if len(self.known) + len(spaced) > self.cache_words:
-            self.known.clear()
-            spaced.clear()
-        cut = [(text.split(" ") if "  " not in text else [text]) if text else [""] for text in texts]
+        if len(self.known) + len(spaced) + len(self.tails) > self.cache_words:
+            for own in (self.known, spaced, self.tails):
+                own.clear()
+        cut = [text.split(" ") if not any(x in text for x in UNCUT) else [text] for text in texts]
         firsts = [self._first(x.pop(0)) for x in cut]
         if new := set().union(*cut).difference(spaced):
             self._learn(list(new))
