@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import operator
 import os
+import re
 import string
 from collections import Counter
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from plumbline.llm.common import parts, remembers
 
 #: Words whose ids a worker remembers (about 200 bytes each), beyond which its memory is emptied: beside a sort of texts, where it serves this operator alone, and where it serves others too.
 CACHE_WORDS, LARGE_CACHE_WORDS, SMALL_CACHE_WORDS = 1_000_000, 1_250_000, 200_000
 
-#: A control character, a word of its own between chunks that are encoded together, and how many those are.
+#: A control character, a word of its own between chunks that are encoded together, and how many those are. Where spaces are part of tokens, a word that begins with it begins with a line break instead of a space.
 MARK, JOINED = "\x01", 1024
 
 #: How a vocabulary writes the byte of a space, and the end of a word where that is part of a token.
 SPACE, WORD_END = "\u0120", "</w>"
 
-#: Two characters between which a text is not cut, for with the second a token may begin before it: a no-break space goes into tokens with the spaces around it.
-UNCUT = ("  ", "\xa0 ")
+#: Strings with which a text is not cut where spaces are part of tokens: between two characters a token may begin before the second, for a no-break space goes into tokens with the spaces around it.
+UNCUT = ("  ", "\xa0 ", MARK)
 
-#: Characters that are punctuation or symbols to both kinds of tokenizer; an apostrophe may begin a contraction. Those of a word's end at most, and the first letter that a normalizer takes apart.
-PUNCTUATION, MOST_TAIL, PLAIN = string.punctuation.replace("'", ""), 4, "\u0130"
+#: A line break beside other white space, or the first of three: a text with one is cut at spaces alone.
+UNCUT_LINE = re.compile(r"\n(?:(?<=[^\S\n]\n)|(?=[^\S\n]|\n\n))")
+
+#: Characters that are punctuation or symbols to both kinds of tokenizer; an apostrophe may begin a contraction. Those of a word's end at most.
+PUNCTUATION, MOST_TAIL = string.punctuation.replace("'", ""), 4
 
 #: Texts that a worker remembers whole, and the characters they have at most.
 COPIES, COPY_CHARS = 1_000, 16_384
 
+#: Characters of a first word at most that a worker remembers.
+FIRST_CHARS = 200
+
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -36,11 +46,13 @@ class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
     Both kinds of tokenizer files start a new pre-token at a space after a
-    character that is no space, whatever follows. So a text is cut there, each
-    distinct chunk is encoded once by the library, and the ids are strung
-    together. A text with two spaces in a row, or a space after a no-break space,
-    is encoded as one chunk, for there the pre-tokens depend on what follows. Special tokens' strings in a text are
-    ordinary text.
+    character that is no space, whatever follows, and at a line break between
+    two of those. So a text is cut there, each distinct chunk is encoded once by
+    the library, and the ids are strung together. Where spaces are part of
+    tokens, a text with two spaces in a row, or a space after a no-break space,
+    is encoded as one chunk, for there the pre-tokens depend on what follows; where
+    they are not, every space and line break ends a pre-token. Special tokens'
+    strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -51,9 +63,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.copies: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self._forget()
         self.mark = " " + MARK
         self.mark_ids = self.library.encode(self.mark, add_special_tokens=False).ids
         vocabulary = self.library.get_vocab()
@@ -62,43 +72,63 @@ class Encoder:
         self.spaces[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.spaces_stay = bool(self.spaces[self.library.encode(" a b", add_special_tokens=False).ids].sum() == 2)
+        self.line_id, self.lowers = self._ask(["\n"])[0], not self.spaces_stay and len(set(self._ask(["\xc0B", "\xe0b"]))) == 1
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = dict(zip([""], self._ask([" "])))
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: list[str]) -> None:
-        """Has the library encode new words, each after a space, many in one text, which costs less than one by one.
+        """Has the library encode new words, many in one text, which costs less than one by one.
 
         Where spaces are part of tokens, a word's ids begin at a token with its
-        space. Else a word of letters is one pre-token and ends at a token that
-        ends one, and other words have a marker between them. A group of which
-        the number of words does not come out is encoded one by one. A word of
-        letters with punctuation after it is put together from both.
+        space, or at a line break. Else a word of letters is one pre-token and
+        ends at a token that ends one, and other words have a marker between
+        them. A group of which the number of words does not come out is encoded
+        one by one. A word of letters with punctuation after it is put together
+        from both, and has the ids of its small letters where case is not told.
         """
-        heads = {x: head for x in new if not x.isalpha() and self._ends_plainly(x, head := x.rstrip(PUNCTUATION))}
-        if heads:
-            new = list((set(new) - heads.keys()) | (set(heads.values()) - self.spaced.keys()))
-        alone = [x for x in new if not x or x.strip() != x or MARK in x or "  " in x]
-        if alone:
-            new = list(set(new).difference(alone))
+        spaced, asked, others, made, heads, tails = self.spaced, set(), [], [], [], []
+        for x in new:
+            head = x.rstrip(PUNCTUATION)
+            word = head[1:] if self.spaces_stay and head[:1] == MARK else head
+            plain = word.isascii() or len(word.encode("latin-1", "ignore")) == len(word)
+            if not word.isalpha() or x != head and (not plain or len(x) - len(head) > MOST_TAIL):
+                others.append(x)
+                continue
+            tail = x[len(head) :]
+            if self.lowers and plain:
+                head = head.lower()
+            if head not in spaced:
+                asked.add(head)
+            if head != x:
+                made.append(x)
+                heads.append(head)
+                tails.append(tail)
+        alone = [x for x in others if not x or x.strip() != x or MARK in x or "  " in x]
+        others = list(set(others).difference(alone))
         if self.spaces_stay:
-            alone += self._learn_joined(new, "", lambda ids: np.append(np.flatnonzero(self.spaces[ids])[1:], len(ids)), 0)
+            lines = [x for x in asked if x[0] == MARK]
+            others += asked.difference(lines)
+            alone += self._learn_joined(others, "", lambda ids: np.append(np.flatnonzero(self.spaces[ids])[1:], len(ids)), 0)
+            alone += self._learn_joined(lines, "", lambda ids: np.append(np.flatnonzero(ids == np.frombuffer(self.line_id, "<u4"))[1:], len(ids)), 0)
         else:
-            alone += self._learn_joined([x for x in new if x.isalpha()], "", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
-            alone += self._learn_joined([x for x in new if not x.isalpha()], self.mark, lambda ids: np.flatnonzero(ids == self.mark_ids[-1]) + 1, len(self.mark_ids))
-        for chunk, ids in zip(alone, self._ask([" " + x for x in alone])):
-            self.spaced[chunk] = ids
-        tails = list({x[len(head) :] for x, head in heads.items()} - self.tails.keys())
-        self.tails.update(zip(tails, self._ask(tails)))
-        self.spaced.update((x, self.spaced[head] + self.tails[x[len(head) :]]) for x, head in heads.items())
-
-    @staticmethod
-    def _ends_plainly(chunk: str, head: str) -> bool:
-        """Whether a word is its head, letters of which there is no doubt, and a few punctuation characters, which are a pre-token of their own."""
-        return head.isalpha() and 0 < len(chunk) - len(head) <= MOST_TAIL and (head.isascii() or max(head) < PLAIN)
+            alone += self._learn_joined(list(asked), "", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
+            alone += self._learn_joined(others, self.mark, lambda ids: np.flatnonzero(ids == self.mark_ids[-1]) + 1, len(self.mark_ids))
+        spaced.update(zip(alone, self._ask([self._as_text(x) for x in alone])))
+        ends = list(set(tails).difference(self.tails))
+        self.tails.update(zip(ends, self._ask(ends)))
+        spaced.update(zip(made, map(operator.concat, map(spaced.__getitem__, heads), map(self.tails.__getitem__, tails))))
+
+    def _as_text(self, word: str) -> str:
+        return word.replace(MARK, "\n") if self.spaces_stay and word[:1] == MARK else " " + word
 
     def _learn_joined(self, new: list[str], mark: str, ends_of: Callable[[np.ndarray], np.ndarray], own: int) -> list[str]:
         """Words of groups for which ends_of (the ends of the words' ids, each with `own` ids of the mark) does not give one end for each."""
         left, groups = [], [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
         for at in range(0, len(groups), 16):
-            texts = [" " + f"{mark} ".join(group) + mark for group in groups[at : at + 16]]
+            texts = ["".join([self._as_text(x) + mark for x in group])[not self.spaces_stay :] for group in groups[at : at + 16]]
             for group, e in zip(groups[at : at + 16], self.library.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = ends_of(ids)
@@ -127,18 +157,37 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        spaced = self.spaced
-        if len(self.known) + len(spaced) + len(self.tails) > self.cache_words:
-            for own in (self.known, spaced, self.tails):
-                own.clear()
-        cut = [text.split(" ") if not any(x in text for x in UNCUT) else [text] for text in texts]
-        firsts = [self._first(x.pop(0)) for x in cut]
-        if new := set().union(*cut).difference(spaced):
-            self._learn(list(new))
-        ids_of = spaced.__getitem__
-        return [b"".join([first, *map(ids_of, rest), end]) for first, rest in zip(firsts, cut)]
+        if len(self.known) + len(self.spaced) + len(self.tails) > self.cache_words:
+            self._forget()
+        spaced, firsts, cut = self.spaced, [], []
+        for text in texts:
+            if not self.spaces_stay:
+                text, first = " " + text.replace("\n", " "), 0
+            elif any(x in text for x in UNCUT):
+                first = len(text)
+            else:
+                if "\n" in text and not UNCUT_LINE.search(text):
+                    text = text.replace("\n", " " + MARK).replace(MARK + " " + MARK, MARK * 2)
+                first = at if (at := text.find(" ")) >= 0 else len(text)
+            firsts.append(self._first(text[:first]))
+            cut.append(text[first:])
+        # the words of all texts in one column, an empty one for the first of each: each distinct one is looked up once
+        words = pc.split_pattern(pa.array([" ".join(cut)], pa.large_string()), " ").values.dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        if new := [x for x in distinct if x not in spaced]:
+            self._learn(new)
+        ids = pa.array([*map(spaced.__getitem__, distinct), *firsts], pa.large_binary())
+        at, starts = words.indices.to_numpy().copy(), np.cumsum([0, *(x.count(" ") + 1 for x in cut)])
+        at[starts[:-1]] = np.arange(len(distinct), len(ids))
+        _, offsets, data = ids.take(pa.array(at)).buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64)[starts].tolist()
+        data = memoryview(data or b"")
+        return [b"".join((data[a:b], end)) for a, b in zip(bounds, bounds[1:])]
 
     def _first(self, chunk: str) -> bytes:
+        """Ids of what no space goes before: a text's first word, which is remembered, or a text that is not cut."""
+        if len(chunk) > FIRST_CHARS:
+            return self._ask([chunk])[0]
         if chunk and chunk not in self.known:
             self.known[chunk] = self._ask([chunk])[0]
         return self.known[chunk] if chunk else b""

@@ -39,3 +39,40 @@ def test_words_of_letters_are_learned_without_a_marker_and_punctuation_once(file
     ids = e.encode([text])[0]
     assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert sum(map(len, asked)) <= 1 + 4 * len(set(words)) + len(",.&&&") and not any(MARK in x for x in asked)
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_words_around_line_breaks_and_capitals_are_asked_for_once(file):
+    e = Encoder(tokenizer_path(file))
+    library, asked = e.library, []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    e.library = Asked()
+    words = sorted({"".join(p) for p in zip("abcdefgh" * 20, "stuvwxyzo" * 20, "mnpqrlk" * 20)})
+    texts = ["x " + " ".join(f"{a}.\n{b.title()}" for a, b in zip(words, words[k:])) for k in range(9)]
+    texts.append(" ".join(words).replace(" ", "\n\n"))
+    for text, ids in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    # a word after a space, after a line break and after two; or once, where neither white space nor case is told
+    kinds = {"byte_bpe_50k.json": 4 + 4 + 5, "word_bpe_49k.json": 4}[file]
+    assert sum(map(len, asked)) <= 4 + kinds * len(words)
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_texts_with_runs_of_white_space_have_the_ids_of_the_library(file):
+    rng = random.Random(11)
+    runs = [" ", " ", " ", " ", "\n", "\n", "\n\n", ".\n", "\n\n\n", "\n ", " \n", "\t", "\r\n", "\xa0\n", "\n\xa0", "ab", "Cd", "Éà", "Œuf", "ŒUF.", "Foo", ",", "1", "'S", MARK]
+    texts = ["".join(rng.choice(runs) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    e = Encoder(tokenizer_path(file), cache_words=1000)
+    for text, ids in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_texts_that_are_not_cut_are_not_remembered():
+    e = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    e.encode([f"two  spaces {k} " * 40 for k in range(20)])
+    assert sum(map(len, e.known)) < 1000
