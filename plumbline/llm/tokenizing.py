@@ -51,19 +51,27 @@ class Encoder:
     the library, and the ids are strung together. Where spaces are part of
     tokens, a text with two spaces in a row, or a space after a no-break space,
     is encoded as one chunk, for there the pre-tokens depend on what follows; where
-    they are not, every space and line break ends a pre-token. Special tokens'
-    strings in a text are ordinary text.
+    they are not, every space and line break ends a pre-token. Words of letters go to the
+    file's model as the pre-tokens they are. Special tokens' strings in a text
+    are ordinary text.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # the same model, not a copy, for words of letters that are pre-tokens as they are given
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model.encode_special_tokens = True
         self.copies: dict[str, bytes] = {}
         self._forget()
+        # how the vocabulary writes bytes, with a space between words that are given to the model
+        alone = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.writing = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in alone)} | {b: chr(b) for b in alone}
         self.mark = " " + MARK
         self.mark_ids = self.library.encode(self.mark, add_special_tokens=False).ids
         vocabulary = self.library.get_vocab()
@@ -72,7 +80,8 @@ class Encoder:
         self.spaces[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.spaces_stay = bool(self.spaces[self.library.encode(" a b", add_special_tokens=False).ids].sum() == 2)
-        self.line_id, self.lowers = self._ask(["\n"])[0], not self.spaces_stay and len(set(self._ask(["\xc0B", "\xe0b"]))) == 1
+        self.writing |= {ord(" "): " " + SPACE, ord("\n"): f" {self.writing[10]} "} if self.spaces_stay else {ord(" "): " "}
+        self.line_id, self.lowers = self.library.encode("\n", add_special_tokens=False).ids[:1], not self.spaces_stay and len(set(self._ask(["\xc0B", "\xe0b"]))) == 1
 
     def _forget(self) -> None:
         self.known: dict[str, bytes] = {}
@@ -89,11 +98,12 @@ class Encoder:
         one by one. A word of letters with punctuation after it is put together
         from both, and has the ids of its small letters where case is not told.
         """
-        spaced, asked, others, made, heads, tails = self.spaced, set(), [], [], [], []
-        for x in new:
+        spaced, others, made, heads, tails = self.spaced, [], [], [], []
+        asked = set() if self.lowers else set(filter(str.isalpha, new))
+        for x in new if self.lowers else [x for x in new if not x.isalpha()]:
             head = x.rstrip(PUNCTUATION)
             word = head[1:] if self.spaces_stay and head[:1] == MARK else head
-            plain = word.isascii() or len(word.encode("latin-1", "ignore")) == len(word)
+            plain = self._plain(word)
             if not word.isalpha() or x != head and (not plain or len(x) - len(head) > MOST_TAIL):
                 others.append(x)
                 continue
@@ -109,13 +119,18 @@ class Encoder:
         alone = [x for x in others if not x or x.strip() != x or MARK in x or "  " in x]
         others = list(set(others).difference(alone))
         if self.spaces_stay:
+            after_space = lambda ids: np.append(np.flatnonzero(self.spaces[ids])[1:], len(ids))
+            after_line = lambda ids: np.append(np.flatnonzero(ids == self.line_id)[1:], len(ids))
             lines = [x for x in asked if x[0] == MARK]
-            others += asked.difference(lines)
-            alone += self._learn_joined(others, "", lambda ids: np.append(np.flatnonzero(self.spaces[ids])[1:], len(ids)), 0)
-            alone += self._learn_joined(lines, "", lambda ids: np.append(np.flatnonzero(ids == np.frombuffer(self.line_id, "<u4"))[1:], len(ids)), 0)
+            alone += self._learn_joined(list(asked.difference(lines)), after_space, by_model=True)
+            alone += self._learn_joined(lines, after_line, by_model=True)
+            alone += self._learn_joined(others, after_space)
         else:
-            alone += self._learn_joined(list(asked), "", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
-            alone += self._learn_joined(others, self.mark, lambda ids: np.flatnonzero(ids == self.mark_ids[-1]) + 1, len(self.mark_ids))
+            plain = [x for x in asked if self._plain(x)]
+            at_end = lambda ids: np.flatnonzero(self.ends[ids]) + 1
+            alone += self._learn_joined(plain, at_end, by_model=True)
+            alone += self._learn_joined(list(asked.difference(plain)), at_end)
+            alone += self._learn_joined(others, lambda ids: np.flatnonzero(ids == self.mark_ids[-1]) + 1, self.mark)
         spaced.update(zip(alone, self._ask([self._as_text(x) for x in alone])))
         ends = list(set(tails).difference(self.tails))
         self.tails.update(zip(ends, self._ask(ends)))
@@ -124,12 +139,24 @@ class Encoder:
     def _as_text(self, word: str) -> str:
         return word.replace(MARK, "\n") if self.spaces_stay and word[:1] == MARK else " " + word
 
-    def _learn_joined(self, new: list[str], mark: str, ends_of: Callable[[np.ndarray], np.ndarray], own: int) -> list[str]:
-        """Words of groups for which ends_of (the ends of the words' ids, each with `own` ids of the mark) does not give one end for each."""
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Whether all of its characters are ones that normalizers do no more with than lowering their case."""
+        return word.isascii() or len(word.encode("latin-1", "ignore")) == len(word)
+
+    def _learn_joined(self, new: list[str], ends_of: Callable[[np.ndarray], np.ndarray], mark: str = "", by_model: bool = False) -> list[str]:
+        """Words of groups for which ends_of (the ends of the words' ids, each with those of the mark) does not give one end for each.
+
+        by_model: words of letters, which the model gets as pre-tokens in the vocabulary's writing. Where case is not told, they have small letters.
+        """
+        own = len(self.mark_ids) if mark else 0
         left, groups = [], [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
         for at in range(0, len(groups), 16):
-            texts = ["".join([self._as_text(x) + mark for x in group])[not self.spaces_stay :] for group in groups[at : at + 16]]
-            for group, e in zip(groups[at : at + 16], self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            texts = [mark.join(map(self._as_text, group))[not self.spaces_stay :] + mark for group in groups[at : at + 16]]
+            if by_model:
+                texts = [x.encode().decode("latin-1").translate(self.writing) for x in texts]
+            library = self.model if by_model else self.library
+            for group, e in zip(groups[at : at + 16], library.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = ends_of(ids)
                 if len(ends) != len(group):
@@ -174,9 +201,11 @@ class Encoder:
         # the words of all texts in one column, an empty one for the first of each: each distinct one is looked up once
         words = pc.split_pattern(pa.array([" ".join(cut)], pa.large_string()), " ").values.dictionary_encode()
         distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
-        if new := [x for x in distinct if x not in spaced]:
+        found = list(map(spaced.get, distinct))
+        if new := [x for x, ids in zip(distinct, found) if ids is None]:
             self._learn(new)
-        ids = pa.array([*map(spaced.__getitem__, distinct), *firsts], pa.large_binary())
+            found = [spaced[x] if ids is None else ids for x, ids in zip(distinct, found)]
+        ids = pa.array(found + firsts, pa.large_binary())
         at, starts = words.indices.to_numpy().copy(), np.cumsum([0, *(x.count(" ") + 1 for x in cut)])
         at[starts[:-1]] = np.arange(len(distinct), len(ids))
         _, offsets, data = ids.take(pa.array(at)).buffers()

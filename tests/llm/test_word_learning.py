@@ -76,3 +76,22 @@ def test_texts_that_are_not_cut_are_not_remembered():
     e = Encoder(tokenizer_path("byte_bpe_50k.json"))
     e.encode([f"two  spaces {k} " * 40 for k in range(20)])
     assert sum(map(len, e.known)) < 1000
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_words_of_letters_go_to_the_model_as_pretokens(file):
+    e = Encoder(tokenizer_path(file))
+    model, library, given, asked = e.model, e.library, [], []
+
+    def noting(tokenizer, into):
+        class Noted:
+            def encode_batch_fast(self, texts, **how):
+                into.extend(texts)
+                return tokenizer.encode_batch_fast(texts, **how)
+
+        return Noted()
+
+    e.model, e.library = noting(model, given), noting(library, asked)
+    text = "x " + " ".join(f"{a}{b}" for a in ("été", "Übel", "straße", "ñandú", "plain", "Word") for b in ("mente", "LICH", ",", ".\nOnion", "\nÀ"))
+    assert np.frombuffer(e.encode([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, given)) > 100 and sum(map(len, asked)) < 10
